@@ -5,13 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import decision_list, url_filter
+from tessera.llm import decision_list, simhash, substring_dedup, url_filter
 from tessera.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.dedup_substrings(docs, cut_text=False).drop("text")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = simhash.near_duplicates(docs, shingle=4, distance=4, both=None)
+    return found.select(F.col("id").alias("doc_id"), simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = decision_list.learn(docs, table(spark, sf_dir, "labels"))
@@ -48,6 +60,8 @@ SELECT page_id, host, path, CASE WHEN rank = 1 THEN h || p END AS rule, coalesce
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_substring_dedup": op3_substring_dedup,
+        "op4_simhash": op4_simhash,
         "op6_quality_rules": op6_quality_rules,
         "op10_url_filter": op10_url_filter,
     }

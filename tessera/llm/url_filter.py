@@ -56,7 +56,11 @@ def digest(expression: Column) -> Column:
 
 
 def rules_frame(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
-    return spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    """The rules as a table of literals."""
+    if not rules:
+        return spark.createDataFrame([], "host string, path string, verdict string")
+    rows = [F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def _prepared(rules: DataFrame, rank: int) -> DataFrame:
