@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decision_list, simhash, substring_dedup, url_filter
+from tessera.llm import decision_list, langid, license_scan, simhash, substring_dedup, url_filter
 from tessera.session import table
 
+#: The public vocabulary that tokenising and language ID use; never copied here.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -24,12 +27,23 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = decision_list.learn(docs, table(spark, sf_dir, "labels"))
     return decision_list.judge(docs.select("doc_id", "text"), rules).drop("text")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs, langid.fixed_pieces(PIECE_MODEL))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(
@@ -62,7 +76,9 @@ def queries() -> dict[str, Query]:
     return {
         "op3_substring_dedup": op3_substring_dedup,
         "op4_simhash": op4_simhash,
+        "op5_license_scan": op5_license_scan,
         "op6_quality_rules": op6_quality_rules,
+        "op9_language_id": op9_language_id,
         "op10_url_filter": op10_url_filter,
     }
 
