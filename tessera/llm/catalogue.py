@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decision_list, langid, license_scan, simhash, substring_dedup, url_filter
+from tessera.llm import decision_list, html_wrappers, langid, license_scan, simhash, substring_dedup, url_filter
 from tessera.session import table
 
 #: The public vocabulary that tokenising and language ID use; never copied here.
@@ -16,6 +16,10 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.dedup_substrings(docs, cut_text=False).drop("text")
@@ -74,6 +78,7 @@ SELECT page_id, host, path, CASE WHEN rank = 1 THEN h || p END AS rule, coalesce
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_html_main_text": op1_html_main_text,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_simhash": op4_simhash,
         "op5_license_scan": op5_license_scan,
