@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decision_list, html_wrappers, langid, license_scan, simhash, substring_dedup, url_filter
+from tessera.llm import decision_list, html_wrappers, langid, license_scan, mixing, pieces, simhash, substring_dedup, url_filter
 from tessera.session import table
 
 #: The public vocabulary that tokenising and language ID use; never copied here.
@@ -41,6 +41,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.judge(docs.select("doc_id", "text"), rules).drop("text")
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode_documents(docs, pieces.PieceModel.load(PIECE_MODEL))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs, langid.fixed_pieces(PIECE_MODEL))
@@ -75,6 +84,37 @@ m AS (
 SELECT page_id, host, path, CASE WHEN rank = 1 THEN h || p END AS rule, coalesce(v, 'allow') AS verdict FROM m WHERE n = 1
 """
 
+# A simulation slot by slot, where the operator repeats one period in closed form.
+OP7_SQL = f"""
+WITH RECURSIVE c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+w AS (
+  SELECT row_number() OVER (ORDER BY source NULLS FIRST) AS i, source, (n + {mixing.BLOCK} - 1) // {mixing.BLOCK} AS b,
+    greatest(1, floor({mixing.TOP_WEIGHT} * sqrt(n) / sqrt(max(n) OVER ())))::BIGINT AS w
+  FROM c
+),
+l AS (SELECT list(w ORDER BY i) AS ws, list(b ORDER BY i) AS bs, count(*) AS m FROM w),
+s AS (
+  SELECT -1::BIGINT AS slot, -1::BIGINT AS phase, 0::BIGINT AS pick, 0::BIGINT AS block, 0::BIGINT AS t,
+    list_transform(range(m), lambda x: 0::BIGINT) AS e, list_transform(range(m), lambda x: 0::BIGINT) AS p, ws, bs, m, 0::BIGINT AS next_phase FROM l
+  UNION ALL
+  SELECT slot + 1, next_phase, pick2, e[pick2], CASE WHEN done THEN 0 ELSE t + 1 END, e2, CASE WHEN done THEN e2 ELSE p END, ws, bs, m, CASE WHEN done THEN next_phase + 1 ELSE next_phase END
+  FROM (
+    SELECT *, list_transform(e, lambda x, i: CASE WHEN i = pick2 THEN x + 1 ELSE x END) AS e2, e[pick2] + 1 = bs[pick2] AS done
+    FROM (
+      SELECT *, list_sort(list_filter(list_transform(range(1, m + 1), lambda i: CASE WHEN e[i] < bs[i] AND (e[i] - p[i]) * q // ws[i] <= t
+        THEN {{'d': ((e[i] - p[i] + 1) * q + ws[i] - 1) // ws[i], 'w': -ws[i], 'i': i}} END), lambda x: x IS NOT NULL))[1].i AS pick2
+      FROM (SELECT *, list_sum(list_transform(range(1, m + 1), lambda i: CASE WHEN e[i] < bs[i] THEN ws[i] ELSE 0 END))::BIGINT AS q FROM s)
+      WHERE q > 0
+    )
+  )
+),
+d AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('mix' || doc_id::VARCHAR), doc_id) - 1 AS at FROM documents
+)
+SELECT d.doc_id, d.source, s.block, s.phase, s.slot, s.slot * {mixing.BLOCK} + d.at % {mixing.BLOCK} AS position
+FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source JOIN s ON s.pick = w.i AND s.block = d.at // {mixing.BLOCK} AND s.slot >= 0
+"""
+
 
 def queries() -> dict[str, Query]:
     return {
@@ -83,10 +123,12 @@ def queries() -> dict[str, Query]:
         "op4_simhash": op4_simhash,
         "op5_license_scan": op5_license_scan,
         "op6_quality_rules": op6_quality_rules,
+        "op7_mix_sources": op7_mix_sources,
+        "op8_sentencepiece": op8_sentencepiece,
         "op9_language_id": op9_language_id,
         "op10_url_filter": op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": OP10_SQL}
+    return {"op7_mix_sources": OP7_SQL, "op10_url_filter": OP10_SQL}

@@ -136,7 +136,7 @@ class Scorer:
         out = np.zeros((len(texts), len(self.model.languages)))
         for a in range(0, len(texts), TEXTS_AT_ONCE):
             split = [(t or "").split() for t in texts[a : a + TEXTS_AT_ONCE]]
-            new = list({w for words in split for w in words} - self.known.keys())
+            new = list({w for words in split for w in words if w not in self.known})
             if len(new) + len(self.known) > CACHE_WORDS:
                 new = list({w for words in split for w in words})
                 self.known, self.logs = {}, self.logs[:0]
