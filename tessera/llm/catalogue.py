@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decision_list, html_wrappers, langid, license_scan, mixing, pieces, simhash, substring_dedup, url_filter
+from tessera.llm import decision_list, html_wrappers, image_match, langid, license_scan, mixing, pieces, simhash, substring_dedup, url_filter
 from tessera.session import table
 
 #: The public vocabulary that tokenising and language ID use; never copied here.
@@ -20,6 +20,10 @@ def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrappers.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return image_match.image_classes(image_match.rendered(table(spark, sf_dir, "embeddings")))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.dedup_substrings(docs, cut_text=False).drop("text")
@@ -119,6 +123,7 @@ FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source JOIN s ON s.pick = w.i A
 def queries() -> dict[str, Query]:
     return {
         "op1_html_main_text": op1_html_main_text,
+        "op2_image_copies": op2_image_copies,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_simhash": op4_simhash,
         "op5_license_scan": op5_license_scan,
