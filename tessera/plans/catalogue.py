@@ -1,15 +1,317 @@
-"""The registered queries over the core operators, and their SQL."""
+"""The registered queries over the core operators, and the same in SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.functions.text import LOWER, UPPER
+from tessera.operators import ann, boolean, codec, hashindex, postings, spatial, vector
+from tessera.session import fresh_path, table
+from tessera.sources import binary, generators
+from tessera.streaming import ingest
 
-def queries():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
 
+FLAGSHIP = "(from OR with) AND NOT this"
+#: name: (query, the same over sets of P, the postings, and U, the universe)
+_t = lambda t: f"(SELECT doc_id FROM p WHERE term = '{t}')"
+BOOLEAN = {
+    "bool_term": ("from", _t("from")),
+    "bool_and": ("from AND with", f"{_t('from')} INTERSECT {_t('with')}"),
+    "bool_or": ("from OR with", f"{_t('from')} UNION {_t('with')}"),
+    "bool_not": ("NOT the", f"(SELECT doc_id FROM u) EXCEPT {_t('the')}"),
+    "bool_and_not": (FLAGSHIP, f"({_t('from')} UNION {_t('with')}) EXCEPT {_t('this')}"),
+    "bool_nested": ("in AND (NOT (the OR from) OR (with AND this))", f"{_t('in')} INTERSECT (((SELECT doc_id FROM u) EXCEPT ({_t('the')} UNION {_t('from')})) UNION ({_t('with')} INTERSECT {_t('this')}))"),
+    "bool_double_not": ("NOT NOT from", _t("from")),
+    "bool_missing": ("from AND nosuchterm", f"{_t('from')} INTERSECT {_t('nosuchterm')}"),
+    "bool_case": ("FROM aNd WITH or This", f"({_t('from')} INTERSECT {_t('with')}) UNION {_t('this')}"),
+}
+HASH_CAPACITY = 1024
 
-def oracle_sql():
-    return {}
+
+def _docs(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", "text")
+
+
+def _points(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+def _flat(s: SparkSession, d: str) -> DataFrame:
+    return _points(s, d).select("id", F.slice("vec", 1, 2).alias("vec"))
+
+
+def _queries(points: DataFrame) -> DataFrame:
+    return points.where("id < 10")
+
+
+def _rounded(found: DataFrame) -> DataFrame:
+    return found.withColumn("dist", F.round("dist", 6))
+
+
+def _first(points: DataFrame, id_: int = 3) -> list[float]:
+    r = points.where(F.col("id") == id_).first()
+    return list(r["vec"]) if r else []
+
+
+def flagship(s: SparkSession, d: str) -> DataFrame:
+    return postings.InvertedIndex.build(_docs(s, d)).search(FLAGSHIP)
+
+
+def _search(query: str) -> Query:
+    return lambda s, d: postings.InvertedIndex.build(_docs(s, d)).search(query)
+
+
+def _sets(query: str) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        return boolean.search_by_sets(postings.build_postings(_docs(s, d)), postings.build_universe(_docs(s, d)), query)
+
+    return run
+
+
+def _knn(query_id: int, k: int) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        points = _points(s, d)
+        return _rounded(vector.knn(points, _first(points, query_id), k))
+
+    return run
+
+
+def _tree(leaf_rows: int, points: DataFrame) -> spatial.KDTreeIndex:
+    return spatial.KDTreeIndex(leaf_rows=leaf_rows).build(points)
+
+
+def _tree_batch(points_of: Query, leaf_rows: int) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        points = points_of(s, d)
+        return _rounded(_tree(leaf_rows, points).knn_batch(_queries(points), 5))
+
+    return run
+
+
+def _tree_range(points_of: Query, leaf_rows: int, radius: float) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        points = points_of(s, d)
+        return _rounded(_tree(leaf_rows, points).range_search(_first(points), radius))
+
+    return run
+
+
+def kdtree_leaves(s: SparkSession, d: str) -> DataFrame:
+    return _tree(64, _flat(s, d)).leaves().select(F.col("leaf").cast("long").alias("leaf"), "n")
+
+
+def vec_insert_knn(s: SparkSession, d: str) -> DataFrame:
+    points = _points(s, d)
+    index = vector.FlatIndex().build(points.where("id % 2 = 0")).insert(points.where("id % 2 = 1"))
+    return _rounded(index.nearest_neighbors(_first(points), 10))
+
+
+def vec_distance(s: SparkSession, d: str) -> DataFrame:
+    points = _points(s, d)
+    return points.select("id", F.round(vector.distance(F.col("vec"), _first(points)), 6).alias("dist"))
+
+
+def _ann(search: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        points = _points(s, d)
+        return _rounded(search(points, _queries(points)))
+
+    return run
+
+
+def hash_upsert(s: SparkSession, d: str) -> DataFrame:
+    orders = table(s, d, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    held = hashindex.HashTable.create(orders, keys=["o_orderkey"])
+    more = orders.where("o_orderkey % 10 = 3").withColumn("o_totalprice", F.lit(0.0))
+    return held.upsert(more).rows
+
+
+def hash_upsert_rows(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "customer").select("c_custkey", "c_nationkey")
+    return hashindex.HashTable.create(rows).upsert(rows.where("c_custkey % 3 = 0")).rows
+
+
+def _customers(s: SparkSession, d: str) -> hashindex.HashTable:
+    rows = table(s, d, "customer").select("c_custkey", "c_nationkey")
+    return hashindex.HashTable.create(rows, keys=["c_custkey"], max_bytes=HASH_CAPACITY)
+
+
+def hash_lookup(s: SparkSession, d: str) -> DataFrame:
+    return _customers(s, d).lookup(c_custkey=42)
+
+
+def hash_contains(s: SparkSession, d: str) -> DataFrame:
+    wanted = table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    return _customers(s, d).contains(wanted)
+
+
+def hash_bucket_scan(s: SparkSession, d: str) -> DataFrame:
+    return _customers(s, d).bucket_scan(12345)
+
+
+def hash_directory(s: SparkSession, d: str) -> DataFrame:
+    return _customers(s, d).directory().withColumn("depth", F.col("depth").cast("long"))
+
+
+def stream_postings(s: SparkSession, d: str) -> DataFrame:
+    path = fresh_path(s, "stream")
+    stream = s.readStream.schema(table(s, d, "documents").schema).option("pathGlobFilter", "*.parquet")
+    source = stream.parquet(_stream_folder(s, d))
+    ingest.start(source.select("doc_id", "text"), path).awaitTermination()
+    return ingest.current(s, path).postings
+
+
+def _stream_folder(s: SparkSession, d: str) -> str:
+    """A folder of document files: the table itself, or, where the table is one file, its copy in a folder."""
+    path = f"{d}/documents.parquet"
+    hadoop = s.sparkContext._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    if at.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return path
+    copy = fresh_path(s, "documents")
+    s.read.parquet(path).write.parquet(copy)
+    return copy
+
+
+def index_save_load(s: SparkSession, d: str) -> DataFrame:
+    path = fresh_path(s, "index")
+    postings.InvertedIndex.build(_docs(s, d)).save(path)
+    return postings.InvertedIndex.load(s, path).search("NOT the")
+
+
+def pfor_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    return codec.unpack(postings.InvertedIndex.build(_docs(s, d)).packed())
+
+
+def index_file_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    path = fresh_path(s, "files").removeprefix("file:")
+    binary.export_index(postings.build_postings(_docs(s, d)), path)
+    return binary.import_index(s, path)
+
+
+def _ranked(s: SparkSession, d: str) -> DataFrame:
+    return postings.ranked(postings.build_postings(_docs(s, d)))
+
+
+def pfor_ratio(s: SparkSession, d: str) -> DataFrame:
+    total = codec.sizes(_ranked(s, d)).agg(F.sum("df").alias("n"), F.sum("bytes").alias("bytes"))
+    return total.select((F.col("n") * 4).alias("raw_bytes"), "bytes", F.round(F.col("n") * 4 / F.col("bytes"), 6).alias("ratio"))
+
+
+def queries() -> dict[str, Query]:
+    out: dict[str, Query] = {
+        "text_normalize": lambda s, d: postings.documents_normalized(_docs(s, d)),
+        "text_tokens": lambda s, d: postings.document_terms(_docs(s, d)),
+        "postings": lambda s, d: postings.build_postings(_docs(s, d)),
+        "term_df": lambda s, d: postings.document_frequency(postings.build_postings(_docs(s, d))),
+        "term_lookup": lambda s, d: postings.InvertedIndex.build(_docs(s, d)).lookup("from"),
+        "term_contains": lambda s, d: s.createDataFrame([(t, postings.InvertedIndex.build(_docs(s, d)).contains(t)) for t in ("from", "nosuchterm")], "term string, found boolean"),
+        "corpus_size": lambda s, d: postings.build_universe(_docs(s, d)).agg(F.count("*").alias("n")),
+        "universe_dense": lambda s, d: postings.dense_universe(_docs(s, d)),
+        "index_save_load": index_save_load,
+        "index_file_roundtrip": index_file_roundtrip,
+        "posting_gaps": lambda s, d: _ranked(s, d).select("term", "doc_id", "gap"),
+        "pfor_block_stats": lambda s, d: codec.block_stats(_ranked(s, d)),
+        "pfor_sizes": lambda s, d: codec.sizes(_ranked(s, d)),
+        "pfor_ratio": pfor_ratio,
+        "pfor_roundtrip": pfor_roundtrip,
+        "skip_pointers": lambda s, d: codec.skip_pointers(_ranked(s, d)),
+        "scaled_corpus": lambda s, d: generators.scaled_corpus(_docs(s, d), 3).select("doc_id", "copy"),
+        "stream_postings": stream_postings,
+        "knn_single": _knn(3, 10),
+        "knn_k_gt_n": _knn(3, 1_000_000),
+        "knn_zero_k": _knn(3, 0),
+        "knn_batch": lambda s, d: _rounded(vector.knn_batch(_points(s, d), _queries(_points(s, d)), 5)),
+        "range_single": lambda s, d: _rounded(vector.within(_points(s, d), _first(_points(s, d)), 1.2)),
+        "range_batch": lambda s, d: _rounded(vector.within_batch(_points(s, d), _queries(_points(s, d)), 1.2)),
+        "range_negative": lambda s, d: _rounded(vector.within(_points(s, d), _first(_points(s, d)), -1.0)),
+        "vec_insert_knn": vec_insert_knn,
+        "vec_distance": vec_distance,
+        "kdtree_2d_knn": _tree_batch(_flat, 32),
+        "kdtree_2d_range": _tree_range(_flat, 32, 0.1),
+        "kdtree_knn": _tree_batch(_points, 128),
+        "kdtree_range": _tree_range(_points, 128, 1.2),
+        "kdtree_leaves": kdtree_leaves,
+        "ann_ivf": _ann(lambda p, q: ann.IVFIndex.build(p, 32).search(q, 5)),
+        "ann_pq": _ann(lambda p, q: ann.PQIndex.build(p).search(q, 5)),
+        "ann_hnsw": _ann(lambda p, q: ann.hnsw_search(p, q, 5)),
+        "ann_lsh": _ann(lambda p, q: ann.lsh_search(p, q, 5)),
+        "hash_upsert": hash_upsert,
+        "hash_upsert_rows": hash_upsert_rows,
+        "hash_lookup": hash_lookup,
+        "hash_contains": hash_contains,
+        "hash_bucket_scan": hash_bucket_scan,
+        "hash_directory": hash_directory,
+        "hash_stats": lambda s, d: _customers(s, d).stats(),
+    }
+    for name, (query, _) in BOOLEAN.items():
+        out[name] = _search(query)
+        out[name.replace("bool_", "bool_setform_")] = _sets(query)
+    return out
+
+
+N = f"""n AS (SELECT doc_id, trim(regexp_replace(translate(regexp_replace(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), '[!-/:-@\\[-`{{-~]', '', 'g'), '{UPPER}', '{LOWER}'), ' +', ' ', 'g'), ' ') AS normalized FROM documents)"""
+P = f"{N}, p AS (SELECT DISTINCT doc_id, unnest(string_split(normalized, ' ')) AS term FROM n WHERE normalized <> ''), u AS (SELECT DISTINCT doc_id FROM n WHERE normalized <> '')"
+GAPS = f"{P}, g AS (SELECT term, doc_id, row_number() OVER w - 1 AS rank, doc_id - lag(doc_id, 1, 0) OVER w AS gap FROM p WINDOW w AS (PARTITION BY term ORDER BY doc_id))"
+BLOCKS = f"{GAPS}, b AS (SELECT term, rank // 128 AS block, count(*) AS n, min(doc_id) AS first_doc, length(bin(max(gap)))::BIGINT AS width FROM g GROUP BY term, rank // 128), s AS (SELECT *, 2 + (width * n + 7) // 8 AS bytes FROM b)"
+_POINTS = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings)"
+_FLAT = "v AS (SELECT vec_id AS id, embedding[1:2]::DOUBLE[] AS vec FROM embeddings)"
+_ONE = "a AS (SELECT v.id, list_distance(v.vec, q.vec) AS d FROM v, (SELECT vec FROM v WHERE id = 3) q)"
+_MANY = "a AS (SELECT q.id AS qid, v.id, list_distance(v.vec, q.vec) AS d FROM v, (SELECT * FROM v WHERE id < 10) q), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM a)"
+_BATCH = "SELECT qid, id, round(d, 6) AS dist, rank FROM r WHERE rank <= 5"
+_ENTRIES = "e AS (SELECT c_custkey, c_nationkey, ('0x' || right(md5(c_custkey::VARCHAR), 7))::BIGINT AS h, length(c_custkey::VARCHAR) + 4 AS bytes FROM customer)"
+_DIRECTORY = f"""{_ENTRIES},
+nodes AS (SELECT d AS depth, h & ((1::BIGINT << d) - 1) AS suffix, sum(bytes)::BIGINT AS bytes, count(*) AS n FROM e, (SELECT unnest(range(1, 29)) AS d) GROUP BY 1, 2),
+over AS (SELECT depth, suffix FROM nodes WHERE bytes > {HASH_CAPACITY} AND depth < 28),
+candidates AS (SELECT depth + 1 AS depth, suffix FROM over UNION ALL SELECT depth + 1, suffix + (1::BIGINT << depth) FROM over UNION ALL SELECT 1, 0 UNION ALL SELECT 1, 1),
+leaves AS (SELECT c.depth, c.suffix, coalesce(n.bytes, 0)::BIGINT AS bytes, coalesce(n.n, 0)::BIGINT AS n FROM candidates c LEFT JOIN nodes n USING (depth, suffix) WHERE NOT EXISTS (FROM over o WHERE o.depth = c.depth AND o.suffix = c.suffix))"""
+
+
+def oracle_sql() -> dict[str, str]:
+    out = {
+        "text_normalize": f"WITH {N} SELECT * FROM n",
+        "text_tokens": f"WITH {N} SELECT doc_id, unnest(string_split(normalized, ' ')) AS term FROM n WHERE normalized <> ''",
+        "postings": f"WITH {P} SELECT * FROM p",
+        "term_df": f"WITH {P} SELECT term, count(*) AS df FROM p GROUP BY term",
+        "term_lookup": f"WITH {P} SELECT doc_id FROM p WHERE term = 'from'",
+        "term_contains": f"WITH {P} SELECT t AS term, t IN (SELECT term FROM p) AS found FROM (SELECT unnest(['from', 'nosuchterm']) AS t)",
+        "corpus_size": f"WITH {P} SELECT count(*) AS n FROM u",
+        "universe_dense": f"WITH {N} SELECT unnest(range(1, (SELECT count(*) FROM n WHERE normalized <> '') + 1)) AS doc_id",
+        "index_save_load": f"WITH {P} {BOOLEAN['bool_not'][1]}",
+        "index_file_roundtrip": f"WITH {P} SELECT * FROM p",
+        "posting_gaps": f"WITH {GAPS} SELECT term, doc_id, gap FROM g",
+        "pfor_block_stats": f"WITH {BLOCKS} SELECT * FROM s",
+        "pfor_sizes": f"WITH {BLOCKS} SELECT term, sum(n)::BIGINT AS df, sum(bytes)::BIGINT AS bytes FROM s GROUP BY term",
+        "pfor_ratio": f"WITH {BLOCKS} SELECT (sum(n) * 4)::BIGINT AS raw_bytes, sum(bytes)::BIGINT AS bytes, round(sum(n) * 4 / sum(bytes), 6) AS ratio FROM s",
+        "pfor_roundtrip": f"WITH {P} SELECT * FROM p",
+        "skip_pointers": f"WITH {BLOCKS} SELECT term, block, first_doc, coalesce(sum(bytes) OVER (PARTITION BY term ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_offset FROM s",
+        "scaled_corpus": "SELECT doc_id + c * (SELECT count(*) FROM documents) AS doc_id, c::INTEGER AS copy FROM documents, (SELECT unnest(range(3)) AS c)",
+        "stream_postings": f"WITH {P} SELECT * FROM p",
+        "knn_single": f"WITH {_POINTS}, {_ONE} SELECT id, round(d, 6) AS dist FROM a ORDER BY d, id LIMIT 10",
+        "knn_k_gt_n": f"WITH {_POINTS}, {_ONE} SELECT id, round(d, 6) AS dist FROM a",
+        "knn_zero_k": f"WITH {_POINTS}, {_ONE} SELECT id, round(d, 6) AS dist FROM a LIMIT 0",
+        "knn_batch": f"WITH {_POINTS}, {_MANY} {_BATCH}",
+        "range_single": f"WITH {_POINTS}, {_ONE} SELECT id, round(d, 6) AS dist FROM a WHERE d <= 1.2",
+        "range_batch": f"WITH {_POINTS}, {_MANY} SELECT qid, id, round(d, 6) AS dist FROM a WHERE d <= 1.2",
+        "range_negative": f"WITH {_POINTS}, {_ONE} SELECT id, round(d, 6) AS dist FROM a LIMIT 0",
+        "vec_insert_knn": f"WITH {_POINTS}, {_ONE} SELECT id, round(d, 6) AS dist FROM a ORDER BY d, id LIMIT 10",
+        "vec_distance": f"WITH {_POINTS}, {_ONE} SELECT id, round(d, 6) AS dist FROM a",
+        "kdtree_2d_knn": f"WITH {_FLAT}, {_MANY} {_BATCH}",
+        "kdtree_2d_range": f"WITH {_FLAT}, {_ONE} SELECT id, round(d, 6) AS dist FROM a WHERE d <= 0.1",
+        "kdtree_knn": f"WITH {_POINTS}, {_MANY} {_BATCH}",
+        "kdtree_range": f"WITH {_POINTS}, {_ONE} SELECT id, round(d, 6) AS dist FROM a WHERE d <= 1.2",
+        "hash_upsert": "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 3 THEN 0.0 ELSE o_totalprice::DOUBLE END AS o_totalprice FROM orders",
+        "hash_upsert_rows": "SELECT DISTINCT c_custkey, c_nationkey FROM customer",
+        "hash_lookup": "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey = 42",
+        "hash_contains": "SELECT DISTINCT o_custkey AS c_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)",
+        "hash_bucket_scan": f"WITH {_DIRECTORY} SELECT c_custkey, c_nationkey FROM e, leaves WHERE leaves.suffix = 12345 & ((1::BIGINT << depth) - 1) AND e.h & ((1::BIGINT << depth) - 1) = leaves.suffix",
+        "hash_directory": f"WITH {_DIRECTORY} SELECT depth::BIGINT AS depth, suffix, bytes, n FROM leaves",
+        "hash_stats": f"WITH {_DIRECTORY} SELECT max(depth)::BIGINT AS global_depth, 1::BIGINT << max(depth) AS directory_slots, count(*) AS leaf_buckets, sum(n)::BIGINT AS entries FROM leaves",
+    }
+    for name, (_, sql) in BOOLEAN.items():
+        out[name] = out[name.replace("bool_", "bool_setform_")] = f"WITH {P} {sql}"
+    return out
