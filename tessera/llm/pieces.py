@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Units of which a task keeps the encoding.
-KEPT_UNITS = 300_000
+KEPT_UNITS = 700_000
 _UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 #: Below any piece's score: an edge for a character that is no piece.
 UNKNOWN = -1e12
