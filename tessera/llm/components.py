@@ -1,4 +1,4 @@
-"""Connected components of a distributed edge list, by contraction to smaller neighbours."""
+"""Connected components of a distributed edge list, by hooking and pointer doubling."""
 
 from __future__ import annotations
 
@@ -11,26 +11,23 @@ from tessera.session import cut
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of edges (a, b): component is the smallest node reachable. Nulls are ignored.
 
-    Each round points every node at its smallest neighbour (pre-aggregated by map tasks, so a node of
-    many edges is no hot key), follows the pointers once more, and keeps one edge between what they
-    point at. Rounds are logarithmic in the longest chain; each is stored in the shared folder.
+    Each node points at a smaller one. In each round a node, and what it points at, move to the smallest
+    that its neighbours' pointers point at, and pointers are followed once more; so distances double, and
+    a chain of n nodes takes about log n rounds. Neighbours are pre-aggregated by map tasks, so that a node
+    of many edges is no hot key. Each round is stored in the shared folder.
     """
-    left = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = None
-    while left.take(1):
-        both = left.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("near")))
-        parents = both.groupBy("node").agg(F.least(F.min("near"), F.first("node")).alias("to"))
-        jumped = cut(
-            parents.alias("x")
-            .join(parents.select(F.col("node").alias("mid"), F.col("to").alias("root")), F.col("x.to") == F.col("mid"))
-            .select(F.col("x.node").alias("node"), F.col("root").alias("to"))
-        )
-        labels = jumped.select("node", F.col("to").alias("component")) if labels is None else cut(_moved(labels, "component", jumped))
-        left = cut(_moved(_moved(left, "a", jumped), "b", jumped).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
-
-
-def _moved(rows: DataFrame, column: str, to: DataFrame) -> DataFrame:
-    """Rows with the column's nodes replaced by what they point at; other nodes stay."""
-    named = to.select(F.col("node").alias("__node"), F.col("to").alias("__to"))
-    return rows.join(named, rows[column] == named["__node"], "left").select(*[F.coalesce("__to", c).alias(c) if c == column else c for c in rows.columns])
+    pairs = edges.where("a <> b")
+    both = cut(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
+    pointers = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("to")))
+    total = None
+    while True:
+        now = pointers.agg(F.sum(F.col("to").cast("decimal(38,0)"))).first()[0]
+        if now == total:  # pointers only fall, so their sum stands still when they do
+            return pointers.select(F.col("u").alias("node"), F.col("to").alias("component"))
+        total = now
+        mid = pointers.select(F.col("u").alias("mid"), F.col("to").alias("far"))
+        doubled = pointers.join(mid, F.col("to") == F.col("mid")).select("u", "to", "far")
+        seen = doubled.select(F.col("u").alias("v"), F.col("far").alias("near"))
+        best = both.join(seen, "v").groupBy("u").agg(F.min("near").alias("best"))
+        moved = doubled.join(best, "u").select(F.explode(F.array(F.struct("u", F.least("to", "far", "best").alias("to")), F.struct(F.col("to").alias("u"), F.col("best").alias("to")))).alias("x"))
+        pointers = cut(moved.groupBy("x.u").agg(F.min("x.to").alias("to")))
