@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 #: Documents to a block, and at most about so many to a numbering bucket.
 BLOCK = 32
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 #: The largest weight that the default rule gives.
 TOP_WEIGHT = 100
 
