@@ -67,7 +67,7 @@ ODD = _words(
 )
 OUTSIDE = _words("header head")
 CONTENT = _words("content article articlebody post entry story main maincontent text bodytext")
-PLACES = _words("article main")
+TEXT_BLOCKS = _words("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote address figcaption")
 
 
 @dataclass
@@ -326,7 +326,7 @@ def content_paths(wrapper: Node) -> list[str]:
                 step = best + ">" + p[len(best) + 1 :].split(">")[0]
                 steps[step] = steps.get(step, 0) + able[p][0]
         top = max(steps, key=lambda s: (steps[s], s), default=None)
-        if top is None or steps[top] < 0.7 * total:
+        if top is None or steps[top] < 0.7 * total or re.split(r"[.#]", top.rsplit(">", 1)[1])[0] in TEXT_BLOCKS:
             break
         best = top
     return sorted(p for p in good if p == best or p.startswith(best + ">"))
