@@ -46,7 +46,7 @@ NOTICES: list[tuple[str, str]] = [
     ("reserved", "copyright all rights reserved by the author"),
 ]
 #: One edit for so many characters of a notice.
-CHARS_PER_EDIT = 10
+CHARS_PER_EDIT = 15
 _WORD = np.ones(256, bool)
 _WORD[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = False
 _GAP = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
@@ -75,7 +75,7 @@ class Notice:
     pattern: str = field(init=False)
 
     def __post_init__(self) -> None:
-        edits = len(self.text) // CHARS_PER_EDIT // 2
+        edits = len(self.text) // CHARS_PER_EDIT
         n, k = len(self.text), edits + 1
         cuts = [i * n // k for i in range(k + 1)]
         object.__setattr__(self, "edits", edits)
