@@ -40,6 +40,8 @@ COST_SAMPLE = 2048
 #: Entries to a bucket; pairs compared at once; entries times entries of a run from which it is searched breadth first.
 BUCKET_ENTRIES = 2_000_000
 CHUNK_PAIRS = 2_000_000
+#: Pairs of a run from which it is compared as one matrix, and not gathered with others.
+WIDE_RUN = 4_000
 LARGE_RUN = 4_000_000
 #: Bits of both fingerprints, of 128, that texts of Jaccard similarity 0.8 differ in: cosine 2 * 0.8 / 1.8, angle times 128 / 180 degrees.
 SIMILAR_128 = 19
@@ -130,8 +132,8 @@ def allocate(groups: list[list[int]], sample: np.ndarray, n: int, distance: int)
         differ = np.bitwise_count(part[:, None] ^ part[None, :])
         near = [max(0, int((differ <= t).sum()) - len(part)) / max(1, len(part) * (len(part) - 1)) for t in range(4)]
         near = [max(x, _ball(len(own), t) / 2 ** len(own)) for t, x in enumerate(near)]
-        # Entries are shuffled and sorted, candidates only compared: an entry costs some 20 comparisons.
-        costs.append([0.0] + [near[t] * n * n / 2 + 20.0 * n * _ball(len(own), t) for t in range(4)])
+        # Entries are shuffled and sorted, candidates only compared: an entry costs some 50 comparisons.
+        costs.append([0.0] + [near[t] * n * n + 50.0 * n * _ball(len(own), t) for t in range(4)])
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for c in costs:
         step: dict[int, tuple[float, list[int]]] = {}
@@ -234,6 +236,14 @@ def link_run(keys: np.ndarray, own: np.ndarray, fp: np.ndarray, fp2: np.ndarray,
         a.append(x)
         b.append(y)
     begin, size, owns = begin[~large], size[~large], owns[~large]
+    wide = owns * size > WIDE_RUN
+    for s, n, o in zip(begin[wide], size[wide], owns[wide], strict=True):
+        i, j = np.nonzero(np.bitwise_count(fp[s : s + o, None] ^ fp[None, s : s + n]) <= distance)
+        i, j = i[i < j] + s, j[i < j] + s
+        near = _linked(fp[i] ^ fp[j], fp2[i] ^ fp2[j], distance, both) & (node[i] != node[j])
+        a.append(node[i[near]])
+        b.append(node[j[near]])
+    begin, size, owns = begin[~wide], size[~wide], owns[~wide]
     sums = np.cumsum(owns * size)
     lo = 0
     while lo < len(begin):
@@ -293,11 +303,13 @@ def links(classes: DataFrame, probes: list[Probe], n: int, distance: int, both:
     return rows.groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 7, both: int | None = SIMILAR_128) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 10, both: int | None = SIMILAR_128) -> DataFrame:
     """(id, fp, component_id) of every row.
 
     With ``both``, linked pairs must also differ in no more than so many bits of 128, those of two
-    independent fingerprints.
+    independent fingerprints. A wide ``distance`` finds more of the pairs near similarity 0.8, at a number
+    of comparisons that grows with the square of the distinct fingerprints, if by a small factor (see the
+    README); for the largest corpora take 4.
     """
     marks = cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, second=both is not None))
     classes = cut(marks.groupBy("fp", "fp2").agg(F.min("id").alias("node")))
