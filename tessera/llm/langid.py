@@ -33,7 +33,6 @@ SMOOTHING = 0.5
 MARK = "▁"
 CACHE_WORDS = 250_000
 TEXTS_AT_ONCE = 2048
-PARTS = 64
 
 
 @dataclass(frozen=True)
@@ -66,11 +65,11 @@ def learn(docs: DataFrame, pieces: list[str], *, id_col: str = "doc_id", text_co
     """A model of the languages of the labelled rows whose ids aren't held out."""
     able = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     able = able.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    # Ranked by parts of each language first, so that one that has most rows isn't ranked by one task.
-    order = (F.xxhash64("id"), F.col("id"))
-    parts = able.select("id", "lang").withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(PARTS)))
-    parts = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= train_rows)
-    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    # About twice the rows wanted have hashes below a language's bound; only these are ranked.
+    counts = able.groupBy("lang").count().collect()
+    bounds = [x for r in counts for x in (F.lit(r["lang"]), F.lit(min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, 2 * (train_rows + 50) / r["count"])))))]
+    few = able.select("id", "lang").where(F.xxhash64("id") <= F.create_map(*bounds)[F.col("lang")]) if counts else able.select("id", "lang")
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
     chosen = ranked.where(F.col("rank") <= train_rows).select(F.col("id").alias("__id"), F.col("lang").alias("__lang")).distinct()
     rows = able.join(F.broadcast(chosen), (F.col("id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("lang", "text")
     vocabulary = Vocabulary.of(pieces, WIDEST)
