@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import ann, hashindex, vector
+from tessera.operators.index import Index
 from tessera.operators.spatial import KDTreeIndex
 
 P6 = [(2, 3), (5, 4), (9, 6), (4, 7), (8, 1), (7, 2)]
@@ -22,6 +23,7 @@ KINDS = [vector.FlatIndex, KDTreeIndex, lambda: KDTreeIndex(leaf_rows=1)]
 @pytest.mark.parametrize("kind", KINDS)
 def test_neighbours_and_radius(spark, kind):
     index = kind().build(points(spark, P6))
+    assert isinstance(index, Index)
     assert found(index.nearest_neighbors([5, 5], 2), P6) == [(5, 4), (4, 7)]
     assert sorted(found(index.range_search([5, 5], 3.0), P6)) == [(4, 7), (5, 4)]
     assert found(index.nearest_neighbors([5, 5], 0), P6) == []
