@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decision_list, mixing, pieces, simhash, substring_dedup
 from tessera.llm.catalogue import PIECE_MODEL
-from tessera.session import fresh_path, table
+from tessera.session import fresh_path, remove, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written as Parquet and read again; a stage's files go once the next is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         path = fresh_path(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

@@ -88,6 +88,19 @@ m AS (
 SELECT page_id, host, path, CASE WHEN rank = 1 THEN h || p END AS rule, coalesce(v, 'allow') AS verdict FROM m WHERE n = 1
 """
 
+OP3_SQL = """
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM documents
+),
+k AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS key FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) AS n FROM k) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM later),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
 # A simulation slot by slot, where the operator repeats one period in closed form.
 OP7_SQL = f"""
 WITH RECURSIVE c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
@@ -136,4 +149,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mix_sources": OP7_SQL, "op10_url_filter": OP10_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op7_mix_sources": OP7_SQL, "op10_url_filter": OP10_SQL}
