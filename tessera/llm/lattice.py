@@ -32,15 +32,15 @@ class Vocabulary:
 
     @staticmethod
     def of(pieces: list[str], widest: int = 16) -> Vocabulary:
-        by: dict[int, list[tuple[int, int]]] = {}
+        by: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
             if p and len(p) <= widest:
-                by.setdefault(len(p), []).append((int(hash_codes(codes([p], len(p)))[0]), i))
+                by.setdefault(len(p), []).append(i)
         hashes, numbers = {}, {}
-        for n, rows in by.items():
-            rows.sort()
-            hashes[n] = np.array([h for h, _ in rows], np.uint64)
-            numbers[n] = np.array([i for _, i in rows], np.int64)
+        for n, own in by.items():
+            h = hash_codes(codes([pieces[i] for i in own], n))
+            order = np.argsort(h)
+            hashes[n], numbers[n] = h[order], np.array(own, np.int64)[order]
         return Vocabulary(hashes, numbers, len(pieces))
 
     def find(self, hashes: np.ndarray, length: int) -> np.ndarray:
