@@ -12,6 +12,11 @@ near copies costs a row for each copy. Runs of many entries are searched breadth
 fingerprint is compared only with those not yet reached. Equal fingerprints form one class before, so
 exact copies are never compared.
 
+``near_duplicates`` with ``both`` links by exact Jaccard similarity of shingle sets. Its candidates come from
+128 bits with a bound that nearly all pairs of that similarity keep; too wide for probes, so classes of
+near sizes are compared block by block (sizes of similar sets differ by the similarity at most). A block
+names its classes that have candidates; their sets are brought there, and a forest of exact links returns.
+
 Defined cases: a null text or one without words has fingerprint zero, linked like any other; a text of
 fewer words than a shingle has one shingle, all its words; rows of one id count separately; a null id
 is never a component's id; an empty table gives an empty result.
@@ -43,8 +48,12 @@ CHUNK_PAIRS = 2_000_000
 #: Pairs of a run from which it is compared as one matrix, and not gathered with others.
 WIDE_RUN = 4_000
 LARGE_RUN = 4_000_000
-#: Bits of both fingerprints, of 128, that texts of Jaccard similarity 0.8 differ in: cosine 2 * 0.8 / 1.8, angle times 128 / 180 degrees.
-SIMILAR_128 = 19
+#: Bits of both fingerprints, of 128, that sets of Jaccard similarity 0.8 differ in: 19.4 on average (cosine
+#: 2 * 0.8 / 1.8, angle times 128 / 180 degrees), with a deviation of 4.1; all but 1 in 10,000 stay within WIDE_128.
+SIMILAR_128, WIDE_128 = 19, 36
+SIMILARITY = 0.8
+#: Classes of a block, and shingles; blocks of similar sizes meet in pairs.
+BLOCK, BLOCK_SHINGLES = 32_768, 8_000_000
 
 
 def text_hashes(text: bytes, size: int) -> np.ndarray:
@@ -74,19 +83,26 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, second: bool = False) -> DataFrame:
-    """(id, fp, fp2) of every row; fp2 is a second, independent fingerprint, or 0."""
+    """(id, fp, fp2, size, digest) of every row.
+
+    With ``second``, fp2 is a second, independent fingerprint, both are of the set of shingles, and size
+    and digest are that set's; else fp counts repeats and the others are 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = [], []
+            one, two, size, digest = [], [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 h = text_hashes(text or b"", shingle)
+                h = np.unique(h) if second else h
                 one.append(fingerprint(h))
                 two.append(fingerprint(mix(h)) if second else 0)
+                size.append(len(h) if second else 0)
+                digest.append(xxhash.xxh64_intdigest(h.tobytes(), SEED) if second else 0)
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed(one), signed(two)], names=["id", "fp", "fp2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed(one), signed(two), pa.array(size, pa.int64()), signed(digest)], names=["id", "fp", "fp2", "size", "digest"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, fp long, fp2 long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, fp long, fp2 long, size long, digest long")
 
 
 @dataclass(frozen=True)
@@ -303,23 +319,140 @@ def links(classes: DataFrame, probes: list[Probe], n: int, distance: int, both:
     return rows.groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 10, both: int | None = SIMILAR_128) -> DataFrame:
+def _band(size: np.ndarray, similarity: float) -> np.ndarray:
+    """Sets of at least this similarity are in one band or in neighbouring ones; bands are a little wider than that needs."""
+    return np.floor(np.log(np.maximum(size, 1)) / -np.log(similarity * 0.99)).astype(np.int64)
+
+
+_PLACE = "k long, i long, l long, j long, first boolean, node long, fp long, fp2 long, size long, digest long"
+
+
+def _near(t: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs (rows of each side) of a block pair sorted by size: sizes allow the similarity, 128 bits differ in ``WIDE_128`` or fewer."""
+    size, first = t["size"].to_numpy(), t["first"].to_numpy()
+    fp, fp2 = (t[c].to_numpy().view(np.uint64) for c in ("fp", "fp2"))
+    one_block = t["k"][0] == t["l"][0] and t["i"][0] == t["j"][0]
+    left, right = np.flatnonzero(first), np.arange(len(first)) if one_block else np.flatnonzero(~first)
+    for s in range(0, len(left), 256):
+        x = left[s : s + 256]
+        lo, hi = np.searchsorted(size[right], [size[x[0]] * similarity - 1, size[x[-1]] / similarity + 1])
+        for r in range(lo, hi, 8192):
+            y = right[r : min(hi, r + 8192)]
+            i, j = np.nonzero(np.bitwise_count(fp[x, None] ^ fp[None, y]) + np.bitwise_count(fp2[x, None] ^ fp2[None, y]) <= WIDE_128)
+            i, j = x[i], y[j]
+            keep = (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])) & ((i < j) | (not one_block))
+            yield i[keep], j[keep]
+
+
+def candidates(classes: DataFrame, similarity: float) -> DataFrame:
+    """Classes at their places in pairs of blocks, where they have candidates there."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column(0).to_numpy()
+            bands, at = np.unique(_band(size, similarity), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bands), pa.array(np.bincount(at, minlength=len(bands))), pa.array(np.bincount(at, size, len(bands)).astype(np.int64))], names=["band", "n", "total"])
+
+    rows = classes.select("size").mapInArrow(counted, "band long, n long, total long").groupBy("band").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
+    blocks = {r["band"]: max(-(-r["n"] // BLOCK), -(-r["total"] // BLOCK_SHINGLES)) for r in rows}
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, size = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            band = _band(size, similarity)
+            out = []
+            for k in np.unique(band).tolist():
+                at = np.flatnonzero(band == k)
+                own = (mix(node[at].view(np.uint64)) % np.uint64(blocks[k])).astype(np.int64)
+                for j in range(blocks[k]):
+                    out.append((at, np.full(len(at), k), np.minimum(own, j), np.full(len(at), k), np.maximum(own, j), own <= j))
+                for j in range(blocks.get(k + 1, 0)):
+                    out.append((at, np.full(len(at), k), own, np.full(len(at), k + 1), np.full(len(at), j), np.full(len(at), True)))
+                for j in range(blocks.get(k - 1, 0)):
+                    out.append((at, np.full(len(at), k - 1), np.full(len(at), j), np.full(len(at), k), own, np.full(len(at), False)))
+            if out:
+                at, *keys = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, keys), *(c.take(pa.array(at)) for c in batch.columns)], names=["k", "i", "l", "j", "first", *batch.schema.names])
+
+    def meet(table: pa.Table) -> pa.Table:
+        t = table.sort_by("size")
+        has = np.zeros(t.num_rows, bool)
+        for i, j in _near(t, similarity):
+            has[i] = has[j] = True
+        return t.filter(pa.array(has))
+
+    entries = classes.select("node", "fp", "fp2", "size", "digest").mapInArrow(enter, _PLACE)
+    return entries.groupBy("k", "i", "l", "j").applyInArrow(meet, _PLACE)
+
+
+def similar(classes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): a forest, for each pair of blocks, of candidates whose shingle sets have this Jaccard similarity; texts are (id, text)."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(text_hashes(x or b"", shingle)).tobytes() for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            digest = np.array([xxhash.xxh64_intdigest(x, SEED) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest), pa.array(sets, pa.binary())], names=["node", "digest", "shingles"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        t = table.sort_by("size")
+        node, size = t["node"].to_numpy(), t["size"].to_numpy()
+        _, flat = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in t["shingles"]]), return_inverse=True)
+        edges = np.concatenate([[0], np.cumsum(size)])
+        held, component = np.zeros(len(flat) + 1, bool), np.arange(len(node))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, j in _near(t, similarity):
+            order = np.argsort(i, kind="stable")
+            i, j = i[order], j[order]
+            begin = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else []
+            for s, e in zip(begin, [*begin[1:], len(i)], strict=False):
+                x, y = i[s], j[s:e]
+                y = y[component[y] != component[x]]
+                if not len(y):
+                    continue
+                own = flat[edges[x] : edges[x + 1]]
+                held[own] = True
+                lengths = size[y]
+                shared = np.add.reduceat(held[np.concatenate([flat[edges[v] : edges[v + 1]] for v in y])], np.cumsum(lengths) - lengths, dtype=np.int64)
+                held[own] = False
+                y = y[shared >= similarity * (size[x] + lengths - shared)]
+                if len(y):
+                    joined, at = np.unique(component[y], return_index=True)
+                    component[np.isin(component, joined)] = component[x]
+                    a.append(np.full(len(at), node[x]))
+                    b.append(node[y[at]])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    places = cut(candidates(classes.where("size > 0"), similarity))
+    named = places.select("node", "digest").distinct()
+    # An id may have rows in several classes, so the digest names the set.
+    sets = texts.join(named.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("id", "text").mapInArrow(gather, "node long, digest long, shingles binary")
+    sets = sets.join(named, ["node", "digest"], "left_semi").dropDuplicates(["node", "digest"])
+    return places.join(sets, ["node", "digest"]).groupBy("k", "i", "l", "j").applyInArrow(meet, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 10, both: float | None = SIMILARITY) -> DataFrame:
     """(id, fp, component_id) of every row.
 
-    With ``both``, linked pairs must also differ in no more than so many bits of 128, those of two
-    independent fingerprints. A wide ``distance`` finds more of the pairs near similarity 0.8, at a number
-    of comparisons that grows with the square of the distinct fingerprints, if by a small factor (see the
-    README); for the largest corpora take 4.
+    Without ``both``, fingerprints of ``distance`` or fewer differing bits link. With it, texts link whose
+    shingle sets have at least that Jaccard similarity, whatever ``distance``. The bound of candidates is
+    that of similarity 0.8; comparisons grow with the square of the distinct sets of similar sizes (see the
+    README).
     """
     marks = cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, second=both is not None))
-    classes = cut(marks.groupBy("fp", "fp2").agg(F.min("id").alias("node")))
+    same = ["fp", "fp2", "size", "digest"]
+    classes = cut(marks.groupBy(*same).agg(F.min("id").alias("node")))
     nodes = classes.where("node IS NOT NULL")
     n = nodes.count()
     if n < 2:
-        return marks.join(classes, ["fp", "fp2"]).select("id", "fp", F.col("node").alias("component_id"))
-    found = components(links(nodes, plan_probes(nodes, n, distance), n, distance, both)).withColumnRenamed("node", "__node")
-    classes = classes.join(found, classes["node"] == found["__node"], "left").select("fp", "fp2", F.coalesce("component", "node").alias("component_id"))
-    return marks.join(classes, ["fp", "fp2"]).select("id", "fp", "component_id")
+        return marks.join(classes, same).select("id", "fp", F.col("node").alias("component_id"))
+    if both is None:
+        forest = links(nodes, plan_probes(nodes, n, distance), n, distance)
+    else:
+        forest = similar(nodes, docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), shingle, both)
+    found = components(forest).withColumnRenamed("node", "__node")
+    classes = classes.join(found, classes["node"] == found["__node"], "left").select(*same, F.coalesce("component", "node").alias("component_id"))
+    return marks.join(classes, same).select("id", "fp", "component_id")
 
 
 def fingerprint_hex(column: str) -> Column:

@@ -154,6 +154,38 @@ def test_second_fingerprint_keeps_real_copies_only(spark):
     assert all(got[i] == i for i in range(60) if len((dict(rows)[i] or "").split()) > 20)
 
 
+def test_near_copies_link_by_exact_similarity(spark):
+    r = random.Random(11)
+    rows, want = [], {}
+    for i in range(60):
+        words = [f"w{r.randrange(10**6)}" for _ in range(204)]  # 200 shingles
+        edits = 4 if i % 2 else 5  # each replaces five: similarity 180 / 220 or 175 / 225
+        copy = [f"e{w}" if k % 40 == 20 and k // 40 < edits else w for k, w in enumerate(words)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i if edits == 4 else 2 * i + 1}
+    got = {x.id: x.component_id for x in simhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == want
+
+
+def test_blocks_of_candidates(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    r = random.Random(3)
+    rows = []
+    for i in range(60):
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.randint(8, 90))]
+        for c in range(4):
+            rows.append((4 * i + c, " ".join(w if r.random() > 0.012 else "e" + w for w in words[: len(words) - c])))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for _, t in rows]
+    to = list(range(len(rows)))
+    for x in range(len(rows)):
+        for y in range(x):
+            if 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y]):
+                low, high = sorted((to[x], to[y]))
+                to = [low if v == high else v for v in to]
+    got = {x.id: x.component_id for x in simhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == dict(enumerate(to))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
