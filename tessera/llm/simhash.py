@@ -211,8 +211,6 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _reached(fp: np.ndarray, fp2: np.ndarray, node: np.ndarray, distance: int, both: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect one run's linked entries, found breadth first."""
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    _, at = np.unique(node, return_index=True)
-    fp, fp2, node = fp[at], fp2[at], node[at]
     left = np.arange(len(node))
     while len(left) > 1:
         stack, left = [int(left[0])], left[1:]

@@ -186,6 +186,12 @@ def test_blocks_of_candidates(spark, monkeypatch):
     assert got == dict(enumerate(to))
 
 
+def test_rows_of_one_id_keep_their_links_in_large_runs():
+    fp = np.array([0, 0xFFFF, 1, 0xFFFE], np.uint64)  # node 1 twice
+    a, b = simhash._reached(fp, np.zeros(4, np.uint64), np.array([1, 1, 2, 3]), 1, None)
+    assert {(1, 2), (1, 3)} <= set(zip(a.tolist(), b.tolist(), strict=True))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
