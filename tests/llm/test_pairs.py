@@ -199,6 +199,13 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_corners_of_stronger_edits_match():
+    bits = np.zeros((2, 128), np.uint8)
+    bits[1, 30:52] = 1  # 22 bits differ, none of them in the first band
+    left, right = image_match._matches(np.zeros(2, np.uint32), np.array([5, 6]), np.packbits(bits, axis=1))
+    assert [*map(list, left)][0] == [0] and [*map(list, right)][0] == [1]
+
+
 def test_image_copies(spark):
     rng = np.random.default_rng(2)
     pictures = [image_match.scene(rng.normal(size=64)) for _ in range(40)]
