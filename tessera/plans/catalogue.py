@@ -236,10 +236,10 @@ def queries() -> dict[str, Query]:
         "kdtree_knn": _tree_batch(_points, 128),
         "kdtree_range": _tree_range(_points, 128, 1.2),
         "kdtree_leaves": kdtree_leaves,
-        "ann_ivf": _ann(lambda p, q: ann.IVFIndex.build(p, 32).search(q, 5)),
+        "ann_ivf": _ann(lambda p, q: ann.IVFIndex.build(p, 32).search(q, 5, nprobe=24)),
         "ann_pq": _ann(lambda p, q: ann.PQIndex.build(p).search(q, 5)),
         "ann_hnsw": _ann(lambda p, q: ann.hnsw_search(p, q, 5)),
-        "ann_lsh": _ann(lambda p, q: ann.lsh_search(p, q, 5)),
+        "ann_lsh": _ann(lambda p, q: ann.lsh_search(p, q, 5, width=2.4)),
         "hash_upsert": hash_upsert,
         "hash_upsert_rows": hash_upsert_rows,
         "hash_lookup": hash_lookup,

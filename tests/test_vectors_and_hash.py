@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tessera.operators import ann, hashindex, vector
 from tessera.operators.index import Index
 from tessera.operators.spatial import KDTreeIndex
+from tessera.plans import catalogue
 
 P6 = [(2, 3), (5, 4), (9, 6), (4, 7), (8, 1), (7, 2)]
 
@@ -106,6 +107,18 @@ def test_recall(spark, search):
     assert len(exact & got) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("name", ["ann_ivf", "ann_pq", "ann_hnsw", "ann_lsh"])
+def test_recall_of_registered_searches(spark, tmp_path, name):
+    rows = np.random.default_rng(8).normal(size=(2000, 64))
+    rows = (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {}
+    for r in catalogue.queries()[name](spark, str(tmp_path)).collect():
+        got.setdefault(r.qid, set()).add(r.id)
+    exact = {q: set(np.argsort(((rows - rows[q]) ** 2).sum(axis=1))[:5].tolist()) for q in got}
+    assert got and sum(len(got[q] & exact[q]) for q in got) >= 0.9 * 5 * len(got)
+
+
 def test_hash_table(spark):
     rows = spark.createDataFrame([(i,) for i in range(1, 2001)], "id int")
     t = hashindex.HashTable.create(rows, max_bytes=1024).upsert(rows.where("id = 1001"))
