@@ -7,9 +7,12 @@ least one offset below v at which both documents stand at a cover position; an a
 
 1. only anchors (|D| of v positions) are hashed and compared over the corpus; those that occur twice
    are shared;
-2. shared anchors are extended: of the windows that hold one at its offset, whole-window hashes (96
-   bits) are compared, and the earliest place of each is found;
-3. every window that is not its hash's earliest place covers words, and covered words go.
+2. shared anchors are extended: of the windows that hold one at its offset, the words themselves are
+   digested (128 bits of BLAKE2b, a cryptographic hash), equal digests are equal windows, and the earliest
+   place of each is found;
+3. every window that is not its digest's earliest place covers words, and covered words go.
+
+Anchors are only compared by a fast polynomial hash: one that collides costs a digest, never a word.
 
 Documents are dealt into blocks by their ids, and hashes into buckets by their values. A block sends
 each bucket one sorted array of its distinct hashes (so a passage in a third of all documents costs a
@@ -17,8 +20,10 @@ bucket one entry for each block, not for each document), and the bucket answers
 No text leaves its block, nothing goes to the driver but three totals.
 
 Defined cases: a null text has no words and stays null; texts shorter than a window lose nothing; rows
-of one id count as documents of their own, in the order of their texts; a null id comes after all
-others; an empty table gives an empty result. Other columns pass through.
+of one id count as documents of their own, in a fixed order (of a hash of their texts, then of the texts),
+and are dealt to blocks by both; a null id comes after all others (with the id 2^63 - 1); ids are integers;
+a text longer than a block is a block; an empty table gives an empty result. Other columns pass through;
+those named like an output column are replaced by it.
 """
 
 from __future__ import annotations
@@ -87,10 +92,11 @@ class _Block:
         sums[n + 1 :] = sums[n]
         return np.flatnonzero((self.room >= self.window) & (sums[period : period + n] > sums[:n])) if n else np.zeros(0, np.int64)
 
-    def windows(self, period: int, shared: np.ndarray, hashes: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Candidate windows' starts, their distinct (hash, second hash) rows, the first place of each, and each window's row."""
+    def windows(self, period: int, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Candidate windows' starts, their distinct digests (two halves), the first place of each, and each window's digest."""
         starts = self.candidates(period, shared)
-        one, two = window_hashes(hashes, self.window)[starts], window_hashes(other, self.window, 1)[starts] >> np.uint64(32)
+        digests = b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in self.words.spans(starts, self.window)])
+        one, two = np.frombuffer(digests, np.uint64).reshape(-1, 2).T
         order = np.lexsort((starts, two, one))
         one_s, two_s = one[order], two[order]
         new = np.ones(len(order), bool)
@@ -153,7 +159,7 @@ def _shared_anchors(table: pa.Table) -> pa.Table:
 def _earliest_windows(table: pa.Table) -> pa.Table:
     """For each window hash of each block: is the block's place of it the earliest of all?"""
     table = table.sort_by("block")
-    one, two = _joined(table, "first", np.uint64), _joined(table, "more", np.uint32)
+    one, two = _joined(table, "first", np.uint64), _joined(table, "more", np.uint64)
     ids, places = _joined(table, "ids", np.int64), _joined(table, "places", np.int64)
     blocks = np.repeat(table["block"].to_numpy(), table["n"].to_numpy())
     order = np.lexsort((places, blocks, ids, two, one))
@@ -166,10 +172,9 @@ def _earliest_windows(table: pa.Table) -> pa.Table:
 
 def _removed(block: _Block, period: int, answers: pa.Table) -> np.ndarray:
     """A mark for each word of the block that goes."""
-    hashes, other = block.words.hashes(), block.words.hashes(1)
-    values, _, at, which = block.anchors(period, hashes)
+    values, _, at, which = block.anchors(period, block.words.hashes())
     shared = _bits(answers, 1, len(values))
-    starts, rows, firsts, group = block.windows(period, at[shared[which]], hashes, other)
+    starts, rows, firsts, group = block.windows(period, at[shared[which]])
     earliest = _bits(answers, 2, rows.shape[1])
     later = starts[~((firsts[group] == starts) & earliest[group])]
     marks = np.zeros(len(block.words) + 1, np.int64)
@@ -229,7 +234,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     period = period_for(window)
     total = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
     blocks, buckets = int(total // BLOCK_CHARS) + 1, int(total // BUCKET_CHARS) + 1
-    dealt = docs.withColumn("__block", F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int"))
+    dealt = docs.withColumn("__block", F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int"))
     names = docs.columns
 
     def ask_anchors(table: pa.Table) -> pa.Table:
@@ -241,11 +246,10 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if not len(table):
             return pa.Table.from_batches([], schema=_requests(0, 1, np.zeros(0, np.uint64), np.zeros(0, bool)).schema)
         block = _Block(table, id_col, text_col, window)
-        hashes = block.words.hashes()
-        values, _, at, which = block.anchors(period, hashes)
+        values, _, at, which = block.anchors(period, block.words.hashes())
         shared = at[_bits(answers, 1, len(values))[which]]
-        _, rows, firsts, _ = block.windows(period, shared, hashes, block.words.hashes(1))
-        return pa.Table.from_batches([_requests(table["__block"][0].as_py(), buckets, rows[0], rows[1].astype(np.uint32), block.ids[block.rows[firsts]], firsts)])
+        _, rows, firsts, _ = block.windows(period, shared)
+        return pa.Table.from_batches([_requests(table["__block"][0].as_py(), buckets, rows[0], rows[1], block.ids[block.rows[firsts]], firsts)])
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         block = _Block(table, id_col, text_col, window)

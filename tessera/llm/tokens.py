@@ -60,6 +60,19 @@ class Words:
             return []
         return self.data[self.starts[a] : self.ends[b - 1]].tobytes().split()
 
+    def spans(self, firsts: np.ndarray, size: int) -> list[bytes]:
+        """The runs of ``size`` words from each of ``firsts``, their words joined by single spaces."""
+        if not len(firsts):
+            return []
+        lengths = self.ends - self.starts
+        number = np.repeat(np.arange(len(self)), lengths)
+        joined = np.full(int(lengths.sum()) + len(self), 32, np.uint8)
+        joined[np.arange(len(number)) + number] = self.data[~_SPACE[self.data]]
+        ends = np.cumsum(lengths + 1) - 1
+        begins = (ends - lengths)[firsts].tolist()
+        text = joined.tobytes()
+        return [text[a:b] for a, b in zip(begins, ends[firsts + size - 1].tolist(), strict=True)]
+
     def hashes(self, lane: int = 0) -> np.ndarray:
         """A hash of each word's bytes."""
         out = np.empty(len(self), np.uint64)

@@ -250,3 +250,19 @@ def test_png():
     data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 10, 12, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
     assert (image_match.read_image(data) == grey).all()
     assert (image_match.read_image(b"P5\n# note\n10 12\n255\n" + grey.tobytes()) == grey).all()
+
+
+def test_words_that_polynomials_confuse_stay(spark):
+    morse = ["".join("ab"[bin(i).count("1") % 2 ^ k] for i in range(2048)) for k in (0, 1)]
+    tail = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{morse[0]} {tail}"), (2, f"{morse[1]} {tail}"), (3, f"{morse[0]}\t\n{tail}")]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.dedup_substrings(frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
+
+
+def test_substrings_of_one_hot_id(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BLOCK_CHARS", 500)
+    passage = " ".join(f"p{i}" for i in range(25))
+    rows = [(None if i % 2 else 7, f"own{i} {passage}") for i in range(60)]
+    got = substring_dedup.dedup_substrings(frame(spark, rows)).collect()
+    assert sorted((r.doc_id is None, r.n_removed) for r in got) == [(False, 0)] + [(False, 25)] * 29 + [(True, 25)] * 30
