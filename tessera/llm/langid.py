@@ -3,13 +3,17 @@
 A language is a distribution over the pieces of a fixed public vocabulary. The probability of a word is
 the sum, over all segmentations of it into pieces, of the products of their probabilities, by the forward
 algorithm; that of a text is the product over its words. Probabilities are learned from labelled texts by
-expectation-maximisation over the same lattices, and smoothed.
+expectation-maximisation over the same lattices, and smoothed: in each round tasks give the expected counts
+of their share of the sample's words, and the sums over all tasks make the next round's model. They are
+sums of integers, so the model is the same however rows are dealt.
 
-Learning uses a bounded sample of the labelled rows, ``TRAIN_ROWS`` of each language at most (those with
-the smallest hashes of their ids); scoring covers every word of every text.
+Learning uses a bounded sample of the labelled rows, ``TRAIN_ROWS`` different ones of each language at most
+(those with the smallest hashes of id and text); scoring covers every word of every text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with no labelled row all are
-``und``; of languages of one score the first in alphabetical order wins; repeated rows each keep theirs.
+``und``; of languages of one score the first in alphabetical order wins; repeated rows each keep theirs, and
+count once in the sample; rows of a null id are never held out; words and texts may be of any length;
+columns of clashing names are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,17 +26,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.lattice import LONGEST, Vocabulary, expected, forward
+from tessera.llm.lattice import UNIT, Vocabulary, expected, forward
+from tessera.session import cut
 
 TRAIN_ROWS = 400
-#: Languages that a model holds at most are those found; each costs one float for each piece.
 ROUNDS = 2
-#: Pieces longer than this are left out: substrings are bounded, and shorter pieces cover them.
-WIDEST = 7
 SMOOTHING = 0.5
+FLOOR = 1e-7
 MARK = "▁"
 CACHE_WORDS = 250_000
 TEXTS_AT_ONCE = 2048
+#: Words of one length that are scored together.
+WORDS_AT_ONCE = 20_000
 
 
 @dataclass(frozen=True)
@@ -56,55 +61,61 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def chunks(word: str) -> list[str]:
-    word = MARK + word
-    return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+def training_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(lang, word, n) of the sample, stored: words of the labelled rows that aren't held out and have the smallest hashes."""
+    able = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
+    able = able.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    # Some twice the different rows wanted have hashes below a language's bound; only these are ranked.
+    sizes = able.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()
+    bounds = [x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, 2 * (train_rows + 50) / max(1, r["n"]))))))]
+    few = able.where(F.col("key") <= F.create_map(*bounds)[F.col("lang")]) if sizes else able
+    ranked = few.select("lang", "key").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
+    chosen = ranked.where(F.col("rank") <= train_rows).select("lang", "key")
+    rows = few.join(F.broadcast(chosen), ["lang", "key"]).groupBy("lang", "key").agg(F.first("text").alias("text")).select("lang", "text")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[tuple[str, str], int] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for w in text.split():
+                    seen[lang, w] = seen.get((lang, w), 0) + 1
+            lang, word = zip(*seen, strict=True) if seen else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
+
+    return cut(rows.mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
 
 
 def learn(docs: DataFrame, pieces: list[str], *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Model:
     """A model of the languages of the labelled rows whose ids aren't held out."""
-    able = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    able = able.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    # About twice the rows wanted have hashes below a language's bound; only these are ranked.
-    counts = able.groupBy("lang").count().collect()
-    bounds = [x for r in counts for x in (F.lit(r["lang"]), F.lit(min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, 2 * (train_rows + 50) / r["count"])))))]
-    few = able.select("id", "lang").where(F.xxhash64("id") <= F.create_map(*bounds)[F.col("lang")]) if counts else able.select("id", "lang")
-    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
-    chosen = ranked.where(F.col("rank") <= train_rows).select(F.col("id").alias("__id"), F.col("lang").alias("__lang")).distinct()
-    rows = able.join(F.broadcast(chosen), (F.col("id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("lang", "text")
-    vocabulary = Vocabulary.of(pieces, WIDEST)
+    words = training_words(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, train_rows=train_rows)
+    languages = [r[0] for r in words.select("lang").distinct().orderBy("lang").collect()]
+    weights = np.tile(np.array([64.0 ** -len(p) for p in pieces]), (len(languages), 1))
+    for _ in range(ROUNDS if languages else 0):
+        weights = _next_round(words, languages, pieces, weights)
+    return Model(languages, pieces, weights, np.full(len(languages), FLOOR))
+
 
+def _next_round(words: DataFrame, languages: list[str], pieces: list[str], weights: np.ndarray) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, dict[str, int]] = {}
+        vocabulary = Vocabulary.of(pieces)
+        out = np.zeros((len(languages), len(pieces)), np.int64)
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = seen.setdefault(lang, {})
-                for w in text.split():
-                    own[w] = own.get(w, 0) + 1
-        for lang, words in seen.items():
-            by: dict[int, dict[str, int]] = {}
-            for w, n in words.items():
-                for c in chunks(w):
-                    own = by.setdefault(len(c), {})
-                    own[c] = own.get(c, 0) + n
-            weights = np.array([64.0 ** -len(p) for p in pieces])
-            out = np.zeros(len(pieces))
-            for _ in range(ROUNDS):
-                out[:] = 0
-                for length, own in by.items():
-                    out += expected(vocabulary, weights, 1e-6, list(own), length, np.fromiter(own.values(), float, len(own)))
-                weights = (out + SMOOTHING) / (out.sum() + SMOOTHING * len(pieces))
-            used = np.flatnonzero(out)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used)), pa.array(used, pa.int32()), pa.array(out[used])], names=["lang", "piece", "n"])
-
-    found = rows.mapInArrow(counted, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
-    languages = sorted(set(found["lang"].to_pylist()))
-    counts = np.zeros((len(languages), len(pieces)))
-    if languages:
-        at = np.searchsorted(languages, found["lang"].to_pylist())
-        counts[at, found["piece"].to_numpy()] = found["n"].to_numpy()
-    weights = (counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * len(pieces))
-    return Model(languages, pieces, weights, np.full(len(languages), 1e-7))
+            parts: dict[tuple[str, int], tuple[list[str], list[int]]] = {}
+            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = parts.setdefault((lang, len(word)), ([], []))
+                own[0].append(MARK + word)
+                own[1].append(n)
+            for (lang, length), (own, n) in parts.items():
+                at = languages.index(lang)
+                for a in range(0, len(own), WORDS_AT_ONCE):
+                    out[at] += expected(vocabulary, weights[at], FLOOR, own[a : a + WORDS_AT_ONCE], length + 1, np.array(n[a : a + WORDS_AT_ONCE], np.int64))
+        at, piece = np.nonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(piece, pa.int32()), pa.array(out[at, piece], pa.int64())], names=["lang", "piece", "n"])
+
+    found = words.mapInArrow(counted, "lang int, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(weights.shape)
+    counts[found["lang"].to_numpy(), found["piece"].to_numpy()] = found["n"].to_numpy() * UNIT
+    return (counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * len(pieces))
 
 
 class Scorer:
@@ -112,27 +123,23 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.vocabulary = Vocabulary.of(model.pieces, WIDEST)
+        self.vocabulary = Vocabulary.of(model.pieces)
         self.known: dict[str, int] = {}
         self.logs = np.zeros((0, len(model.languages)))
 
     def learn_words(self, words: list[str]) -> None:
-        """Adds words that aren't known; forgets all others first if there are too many."""
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known, self.logs = {}, np.zeros((0, len(self.model.languages)))
+        """Adds words that aren't known."""
         parts: dict[int, tuple[list[str], list[int]]] = {}
         base = len(self.known)
         for k, w in enumerate(words):
             self.known[w] = base + k
-            for c in chunks(w):
-                own = parts.setdefault(len(c), ([], []))
-                own[0].append(c)
-                own[1].append(k)
+            own = parts.setdefault(len(w) + 1, ([], []))
+            own[0].append(MARK + w)
+            own[1].append(k)
         logs = np.zeros((len(words), len(self.model.languages)))
         for length, (own, at) in parts.items():
-            for a in range(0, len(own), 50_000):
-                p = forward(self.vocabulary, self.model.weights, self.model.floor, own[a : a + 50_000], length)
-                np.add.at(logs, at[a : a + 50_000], np.log(np.maximum(p, 1e-300)))
+            for a in range(0, len(own), WORDS_AT_ONCE):
+                logs[at[a : a + WORDS_AT_ONCE]] = forward(self.vocabulary, self.model.weights, self.model.floor, own[a : a + WORDS_AT_ONCE], length)
         self.logs = np.concatenate([self.logs, logs])
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -155,10 +162,8 @@ class Scorer:
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row; the score is the language's share of the probability."""
     languages = model.languages
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(model)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             named: list[str] = ["und"] * len(texts)

@@ -4,6 +4,7 @@ import dataclasses
 import random
 import re
 from collections import Counter
+from zlib import crc32
 
 import pytest
 import sentencepiece
@@ -165,8 +166,6 @@ def test_language(spark):
 
 
 def test_held_out_rows_are_not_learned(spark):
-    from zlib import crc32
-
     rows = [(i, "xyzzy" if crc32(str(i).encode()) % 3 == 1 else "plugh", "aa" if i % 2 else "bb") for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r.doc_id for r in df.where(langid.held_out(F.col("doc_id"))).collect()} == {i for i, t, _ in rows if t == "xyzzy"}
@@ -189,9 +188,103 @@ def test_forward_sums_all_segmentations():
 
     v = lattice.Vocabulary.of(names)
     for n, words in {4: ["abab", "baba", "aabb", "aczb"], 1: ["a", "z"], 6: ["ababab", "aaaaaa"]}.items():
-        assert np.allclose(lattice.forward(v, weights, floor, words, n)[:, 0], [brute(w) for w in words])
+        assert np.allclose(lattice.forward(v, weights, floor, words, n)[:, 0], np.log([brute(w) for w in words]))
     counts = lattice.expected(v, weights[0], 1e-3, ["aba"], 3, np.array([1.0]))
-    assert np.isclose((counts * [len(x) for x in names]).sum(), 3.0)
+    assert np.isclose((counts * [len(x) for x in names]).sum() * lattice.UNIT, 3.0)
+
+
+def test_long_words_have_whole_lattices():
+    import numpy as np
+
+    names = ["a", "b", "ab", "ba", "aba", "babababab"]
+    weights, floor = np.array([[0.1, 0.2, 0.3, 0.15, 0.25, 0.01], [0.3, 0.1, 0.05, 0.1, 0.2, 0.2]]), np.array([1e-3, 1e-4])
+    v = lattice.Vocabulary.of(names)
+    r = random.Random(5)
+    for length in (30, 33, 70, 2000):
+        word = "".join(r.choice("ababababac") for _ in range(length))
+        logs, counts = np.zeros(2), []
+        for m in (0, 1):  # the recursion over places, in exact logarithms
+            best = [0.0]
+            for end in range(1, length + 1):
+                terms = [best[end - len(p)] + np.log(weights[m][k]) for k, p in enumerate(names) if word[:end].endswith(p)]
+                terms += [best[end - 1] + np.log(floor[m])] if word[end - 1] not in names else []
+                best.append(np.logaddexp.reduce(terms))
+            logs[m] = best[-1]
+            counts.append(lattice.expected(v, weights[m], floor[m], [word], length, np.array([3])))
+        assert np.allclose(lattice.forward(v, weights, floor, [word], length)[0], logs, rtol=1e-10)
+        known = sum(c != "c" for c in word)
+        assert all(np.isclose((c * [len(x) for x in names]).sum() * lattice.UNIT, 3.0 * known) for c in counts)
+
+
+def brute_language(train, texts, pieces, train_rows=langid.TRAIN_ROWS):
+    """Expectation-maximisation and scores by recursion over dictionaries, for samples of all rows."""
+    import math
+    from functools import cache
+
+    def sums(word, p):
+        @cache
+        def rest(i):
+            if i == len(word):
+                return 1.0
+            out = sum(p[word[i:j]] * rest(j) for j in range(i + 1, min(len(word), i + 16) + 1) if word[i:j] in p)
+            return out + (langid.FLOOR * rest(i + 1) if word[i] not in p else 0.0)
+
+        return rest
+
+    models = {}
+    for lang in sorted({x for _, x in train}):
+        words = Counter(w for t, x in train if x == lang for w in t.split())
+        p = {x: 64.0 ** -len(x) for x in pieces}
+        for _ in range(langid.ROUNDS):
+            n = Counter()
+            for w, k in words.items():
+                w = "▁" + w
+                right = sums(w, p)
+                left = sums(w[::-1], {x[::-1]: v for x, v in p.items()})
+                for i in range(len(w)):
+                    for j in range(i + 1, min(len(w), i + 16) + 1):
+                        if w[i:j] in p:
+                            n[w[i:j]] += k * left(len(w) - i) * p[w[i:j]] * right(j) / right(0)
+            total = sum(n.values())
+            p = {x: (n[x] + langid.SMOOTHING) / (total + langid.SMOOTHING * len(p)) for x in p}
+        models[lang] = p
+    out = []
+    for t in texts:
+        logs = {x: sum(math.log(sums("▁" + w, p)(0)) for w in (t or "").split()) for x, p in models.items()}
+        best = max(logs, key=lambda x: (logs[x], [-ord(c) for c in x]))
+        letters = any(map(str.isalpha, t or ""))
+        out.append((best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())) if letters and logs else ("und", 0.0))
+    return out
+
+
+@pytest.mark.parametrize("width", [1, 7, 64])
+def test_language_equals_brute_force_however_dealt(spark, width):
+    r = random.Random(8)
+    pieces = ["▁", *"abcdefg", "ab", "cd", "▁a", "efg", "abcdefgab", "▁cdefg"]
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(1, 9)))
+    rows = [(i, " ".join(word("abcdx" if i % 2 else "defgy") for _ in range(6)), "aa" if i % 2 else "bb") for i in range(40)]
+    rows += [(HOT, "hot id " + word("abc"), "cc") for _ in range(30)] + [(None, "abc abc", "aa")] * 3 + [(500 + i, t, None) for i, t in enumerate(["", "12", "ab é", "abcdefg" * 30])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(width)
+    model = langid.learn(df, pieces)
+    train = {(i, t, x) for i, t, x in rows if x and (i is None or crc32(str(i).encode()) % 3 != 1)}
+    want = dict(zip([t for _, t, _ in rows], brute_language([x[1:] for x in train], [t for _, t, _ in rows], pieces), strict=True))
+    assert model.languages == ["aa", "bb", "cc"]
+    got = langid.identify(df.select("doc_id", "text", F.col("text").alias("score")), model).join(df.select(F.col("doc_id").alias("i"), F.col("text")), F.col("doc_id").eqNullSafe(F.col("i")))
+    ids = Counter(i for i, _, _ in rows)
+    for x in got.where(f"doc_id IS NOT NULL AND doc_id <> {HOT}").collect():
+        assert ids[x.doc_id] == 1 and x.lang_pred == want[x.text][0] and abs(x.score - want[x.text][1]) < 1e-6
+    digest = model.weights.tobytes()
+    assert MODELS.setdefault("weights", digest) == digest
+
+
+MODELS = {}
+HOT = next(i for i in range(40) if crc32(str(i).encode()) % 3 != 1)
+
+
+def test_a_hot_id_keeps_its_language(spark):
+    rows = [(HOT, f"xa xb xc {i}", "aa") for i in range(600)] + [(i, f"yd ye {i}", "bb") for i in range(1000, 1200)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ["▁", *"abcdexy"], train_rows=20)
+    assert model.languages == ["aa", "bb"]
 
 
 URLS = [
