@@ -10,16 +10,20 @@ scores) for unigram models. A BPE model's scores are merge priorities, and the b
 model encodes to; its fold replays the merges on the lattice: of the edges over two neighbouring symbols the
 best-scored, leftmost one joins them, until none is left. That equals the library's encoding.
 
-``encode_documents`` works on whole documents. There the exploded lattice costs more than the check allows
-(see the README), so each task folds the lattices of its own distinct units and keeps a bounded number of
-them; nothing is shuffled.
-
-Defined cases: a null or empty text has no token; characters that are no piece become byte pieces; repeated
-rows each keep theirs; an empty table gives an empty result.
+``encode_documents`` works on whole documents with the same lattices and folds in Arrow batches (``Lattices``):
+each task explodes, joins, groups and folds the distinct units of its own documents, all units of one length at
+once, keeps a bounded number of results, and shuffles nothing. Shuffled, the words' ids would have to come back
+to every document that has them (figures in the README).
+
+Defined cases: a null or empty text has no token; characters that are no piece become byte pieces; a text with
+the mark itself encodes as if it were a space, so its round trip is false; units and texts may be of any length;
+repeated rows each keep theirs; other columns pass through, and those named like an output column are replaced
+by it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,9 +33,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.lattice import Vocabulary, codes, edges, long_edges
+
 MARK = "▁"
 #: Units of which a task keeps the encoding.
 KEPT_UNITS = 700_000
+#: Documents, and units of one length, that are encoded together.
+DOCUMENTS_AT_ONCE, UNITS_AT_ONCE = 1000, 20_000
+#: Units of up to so many code points have their borders in one 64-bit word.
+BORDERS = 62
 _UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 #: Below any piece's score: an edge for a character that is no piece.
 UNKNOWN = -1e12
@@ -71,26 +81,6 @@ def units_of(text: str) -> list[str]:
     return _UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-def fold_merges(unit: str, scores: dict[str, float]) -> list[str]:
-    """Pieces of a unit after all merges, best score first, leftmost of equals."""
-    parts = list(unit)
-    get = scores.get
-    pairs = [get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-    while True:
-        best, at = None, -1
-        for i, s in enumerate(pairs):
-            if s is not None and (best is None or s > best):
-                best, at = s, i
-        if at < 0:
-            return parts
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        del pairs[at]
-        if at:
-            pairs[at - 1] = get(parts[at - 1] + parts[at])
-        if at < len(pairs):
-            pairs[at] = get(parts[at] + parts[at + 1])
-
-
 def fold_viterbi(unit: str, scores: dict[str, float], widest: int) -> list[str]:
     """Pieces of the path of the largest sum of scores, the longest last piece of equals."""
     n = len(unit)
@@ -115,41 +105,145 @@ def piece_ids(pieces: list[str], model: PieceModel) -> list[int]:
     return out
 
 
+class Lattices:
+    """Encodes units by lattices over a model's pieces, units of one length together.
+
+    ``lattice.edges`` explodes the bounded-length substrings of the units and joins them to the pieces; the edges
+    are grouped by unit and sorted; and the fold of each unit runs over its edges, in step with the other units.
+    Borders of a unit's symbols are the bits of one word.
+    """
+
+    def __init__(self, model: PieceModel):
+        self.model = model
+        pieces = list(model.ids)
+        self.vocabulary = Vocabulary.of(pieces)
+        self.ids = np.array([model.ids[p] for p in pieces], np.int32)
+        self.scores = np.array([model.scores[p] for p in pieces])
+
+    def encode(self, units: list[str]) -> list[bytes]:
+        """The int32 ids of each unit."""
+        out: list[bytes] = [b""] * len(units)
+        by: dict[int, list[int]] = {}
+        for k, u in enumerate(units):
+            by.setdefault(len(u), []).append(k)
+        for length, at in by.items():
+            for a in range(0, len(at), UNITS_AT_ONCE):
+                part = at[a : a + UNITS_AT_ONCE]
+                words = [units[k] for k in part]
+                found = self._short(words, length) if length <= BORDERS else map(self._long, words)
+                for k, ids in zip(part, found, strict=True):
+                    out[k] = ids
+        return out
+
+    def _short(self, words: list[str], length: int) -> list[bytes]:
+        rows = codes(words, length)
+        own = np.full((length, len(words)), -1, np.int32)  # the id of the symbol that begins here
+        if self.model.fold == "merge":
+            mask = self._merged(rows, own)
+        else:
+            mask = self._best_path(rows, own)
+        begins = (mask[:, None] >> np.arange(length, dtype=np.uint64) & np.uint64(1)).astype(bool)
+        ids = own.T[begins]
+        cuts = np.concatenate([[0], np.cumsum(begins.sum(axis=1))]).tolist()
+        raw = ids.tobytes()
+        out = [raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        for k in np.unique(np.nonzero(begins)[0][ids < 0]).tolist() if (ids < 0).any() else ():
+            out[k] = self._with_bytes(words[k], np.flatnonzero(begins[k]), ids[cuts[k] : cuts[k + 1]])
+        return out
+
+    def _with_bytes(self, word: str, begins: np.ndarray, ids: np.ndarray) -> bytes:
+        out: list[int] = []
+        for at, i in zip(begins.tolist(), ids.tolist(), strict=True):
+            out += [i] if i >= 0 else [self.model.bytes[b] for b in word[at].encode("utf-8", "surrogatepass")]
+        return np.array(out, np.int32).tobytes()
+
+    def _merged(self, rows: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Borders after all merges: the best-scored, leftmost edge over two neighbouring symbols joins them, until none is left."""
+        n, length = rows.shape
+        found = [(np.zeros(0, np.int64),) * 4]
+        for start, end, hit, number in edges(self.vocabulary, rows):
+            if end - start == 1:
+                own[start, hit] = self.ids[number]
+            elif len(hit):
+                found.append((hit, np.full(len(hit), start), np.full(len(hit), end), number))
+        unit, start, end, number = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((start, -self.scores[number], unit))
+        unit, start, end, number = (x[order] for x in (unit, start, end, number))
+        one = np.uint64(1)
+        ends = one << start.astype(np.uint64) | one << end.astype(np.uint64)
+        inside = (one << end.astype(np.uint64)) - (one << (start + 1).astype(np.uint64))
+        mask = np.full(n, (one << np.uint64(length + 1)) - one)
+        while len(unit):
+            now = mask[unit]
+            ready = np.flatnonzero((now & ends == ends) & (np.bitwise_count(now & inside) == 1))
+            if not len(ready):
+                break
+            of = unit[ready]
+            first = ready[np.concatenate([[True], of[1:] != of[:-1]])]
+            mask[unit[first]] &= ~inside[first]
+            own[start[first], unit[first]] = self.ids[number[first]]
+            now = mask[unit]
+            left = (now & ends == ends) & (now & inside != 0)
+            unit, start, number, ends, inside = (x[left] for x in (unit, start, number, ends, inside))
+        return mask
+
+    def _best_path(self, rows: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Borders of the path of the largest sum of scores, the longest last piece of equals (Viterbi)."""
+        n, length = rows.shape
+        best = np.full((length + 1, n), -np.inf)
+        best[0] = 0.0
+        back, ids = np.zeros((length + 1, n), np.int64), np.full((length + 1, n), -1, np.int32)
+        every = np.arange(n)
+        for start, end, hit, number in edges(self.vocabulary, rows):
+            score, piece = np.full(n, UNKNOWN if end - start == 1 else -np.inf), np.full(n, -1, np.int32)
+            score[hit], piece[hit] = self.scores[number], self.ids[number]
+            total = best[start] + score
+            better = total > best[end]
+            best[end][better], back[end][better], ids[end][better] = total[better], start, piece[better]
+        at, mask = np.full(n, length), np.full(n, np.uint64(1) << np.uint64(length))
+        while at.any():
+            going = every[at > 0]
+            from_ = back[at[going], going]
+            own[from_, going] = ids[at[going], going]
+            mask[going] |= np.uint64(1) << from_.astype(np.uint64)
+            at[going] = from_
+        return mask
+
+    def _long(self, word: str) -> bytes:
+        """One unit of any length; merges are taken from a heap of its lattice's edges."""
+        row = codes([word], len(word))[0]
+        if self.model.fold != "merge":
+            return np.array(piece_ids(fold_viterbi(word, self.model.scores, self.model.widest), self.model), np.int32).tobytes()
+        n = len(word)
+        held: dict[tuple[int, int], int] = {}
+        for width, starts, numbers in long_edges(self.vocabulary, row):
+            held.update(zip(zip(starts.tolist(), (starts + width).tolist(), strict=True), numbers.tolist(), strict=True))
+        after, before = list(range(1, n + 2)), list(range(-1, n))  # of each border, the next and the last
+        heap: list[tuple[float, int, int, int]] = []
+
+        def offer(a: int) -> None:
+            if 0 <= a < n and after[a] < n and (k := held.get((a, after[after[a]]))) is not None:
+                heapq.heappush(heap, (-self.scores[k], a, after[a], after[after[a]]))
+
+        for a in range(n - 1):
+            offer(a)
+        gone = bytearray(n + 1)
+        while heap:
+            _, a, b, c = heapq.heappop(heap)
+            if gone[a] or gone[b] or gone[c] or after[a] != b or after[b] != c:
+                continue
+            gone[b] = 1
+            after[a], before[c] = c, a
+            offer(before[a])
+            offer(a)
+        begins = np.flatnonzero(np.frombuffer(gone, np.uint8)[:n] == 0)
+        numbers = [held.get((a, after[a]), -1) for a in begins.tolist()]
+        ids = np.array([self.ids[k] if k >= 0 else -1 for k in numbers], np.int32)
+        return self._with_bytes(word, begins, ids)
+
+
 def encode_unit(unit: str, model: PieceModel) -> list[int]:
-    if len(unit) > 64 and model.fold == "merge":
-        return piece_ids(_long_merges(unit, model.scores), model)
-    return piece_ids(fold_merges(unit, model.scores) if model.fold == "merge" else fold_viterbi(unit, model.scores, model.widest), model)
-
-
-def _long_merges(unit: str, scores: dict[str, float]) -> list[str]:
-    """As fold_merges, by a heap over linked symbols: long units cost n log n."""
-    import heapq
-
-    parts: list[str | None] = list(unit)
-    n = len(parts)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = []
-
-    def offer(i: int) -> None:
-        j = after[i]
-        if i >= 0 and j < n and (s := scores.get(parts[i] + parts[j])) is not None:
-            heapq.heappush(heap, (-s, i, j, len(parts[i]) + len(parts[j])))
-
-    for i in range(n - 1):
-        offer(i)
-    while heap:
-        _, i, j, size = heapq.heappop(heap)
-        if parts[i] is None or after[i] != j or j >= n or parts[j] is None or len(parts[i]) + len(parts[j]) != size:
-            continue
-        parts[i] += parts[j]
-        parts[j] = None
-        after[i] = after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        if before[i] >= 0:
-            offer(before[i])
-        offer(i)
-    return [p for p in parts if p is not None]
+    return np.frombuffer(Lattices(model).encode([unit])[0], np.int32).tolist()
 
 
 class Decoder:
@@ -167,29 +261,25 @@ class Decoder:
 
 
 def encode_documents(docs: DataFrame, model: PieceModel, *, text_col: str = "text") -> DataFrame:
-    """The input without its text, with n_tokens, token_ids and round_trip (the ids decode to the text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The input without its text, with n_tokens, token_ids and round_trip (the ids decode to the very text)."""
     added = ("n_tokens", "token_ids", "round_trip")
     names = [c for c in docs.columns if c not in (text_col, *added)]
     picked = docs.select(*names, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        decoder, known = Decoder(own), {}
+        lattices, decoder, known = Lattices(model), Decoder(model), {}
         for whole in batches:
-            for a in range(0, whole.num_rows, 1000):
-                batch = whole.slice(a, 1000)
-                encoded, same = [], []
-                for text in batch.column(len(names)).to_pylist():
-                    units = units_of(text or "")
-                    new = {u for u in units if u not in known}
-                    if len(known) + len(new) > KEPT_UNITS:
-                        known, new = {}, set(units)
-                    for u in new:
-                        known[u] = np.array(encode_unit(u, own), np.int32).tobytes()
-                    ids = b"".join([known[u] for u in units])
-                    encoded.append(ids)
-                    same.append(decoder.decode(np.frombuffer(ids, np.int32).tolist()) == (text or "").replace(MARK, " "))
+            for a in range(0, whole.num_rows, DOCUMENTS_AT_ONCE):
+                batch = whole.slice(a, DOCUMENTS_AT_ONCE)
+                texts = [t or "" for t in batch.column(len(names)).to_pylist()]
+                split = [units_of(t) for t in texts]
+                new = {u for units in split for u in units}.difference(known)
+                if len(known) + len(new) > KEPT_UNITS:
+                    known, new = {}, {u for units in split for u in units}
+                fresh = list(new)
+                known.update(zip(fresh, lattices.encode(fresh), strict=True))
+                encoded = [b"".join([known[u] for u in units]) for units in split]
+                same = [decoder.decode(np.frombuffer(ids, np.int32).tolist()) == t for ids, t in zip(encoded, texts, strict=True)]
                 n = np.array([len(x) // 4 for x in encoded], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), np.int32)))
@@ -240,18 +330,31 @@ def viterbi_borders(word: Column, edges: Column) -> Column:
 
 
 def merge_borders(word: Column, edges: Column) -> Column:
-    """The borders (from 0) of the pieces after all merges."""
+    """The borders (from 0) of the pieces after all merges; bits of one integer while they fit."""
+    n = F.length(word)
+    joining = F.array_sort(F.transform(F.filter(edges, lambda e: e["stop"] - e["start"] > 1), lambda e: F.struct((-e["score"]).alias("rank"), e["start"].alias("start"), e["stop"].alias("stop"))))
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    with_bits = F.transform(joining, lambda e: F.struct(bit(e["start"]).bitwiseOR(bit(e["stop"])).alias("ends"), (bit(e["stop"]) - bit(e["start"] + 1)).alias("inside")))
+
+    def by_bits(sorted_edges: Column) -> Column:
+        def step(mask: Column, _: Column) -> Column:
+            ready = F.filter(sorted_edges, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inside"])) == 1))
+            return mask - F.coalesce(mask.bitwiseAND(F.get(ready, F.lit(0))["inside"]), F.lit(0).cast("long"))
 
-    def step(borders: Column, _: Column) -> Column:
-        joins = F.filter(edges, lambda e: F.array_contains(borders, e["start"]) & (F.array_position(borders, e["stop"]) - F.array_position(borders, e["start"]) == 2))
-        ranked = F.transform(joins, lambda e: F.struct(e["score"].alias("score"), (-e["start"]).alias("left"), e["stop"].alias("stop")))
+        mask = F.aggregate(F.sequence(F.lit(1), F.least(n, F.size(sorted_edges))), bit(n + 1) - 1, step)
+        return F.element_at(F.transform(F.array(mask), lambda m: F.filter(F.sequence(F.lit(0), n), lambda i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1).cast("long")) == 1)), 1)
 
-        def joined(best: Column) -> Column:
-            return F.when(best.isNull(), borders).otherwise(F.filter(borders, lambda b: (b <= -best["left"]) | (b >= best["stop"])))
+    def by_list(sorted_edges: Column) -> Column:
+        def step(borders: Column, _: Column) -> Column:
+            ready = F.filter(sorted_edges, lambda e: F.array_contains(borders, e["start"]) & (F.array_position(borders, e["stop"]) - F.array_position(borders, e["start"]) == 2))
+            joined = lambda best: F.when(best.isNull(), borders).otherwise(F.filter(borders, lambda b: (b <= best["start"]) | (b >= best["stop"])))
+            return F.element_at(F.transform(F.array(F.get(ready, F.lit(0))), joined), 1)
 
-        return F.element_at(F.transform(F.array(F.array_max(ranked)), joined), 1)
+        return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), step)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), F.sequence(F.lit(0), F.length(word)), step)
+    whole = F.sequence(F.lit(0), n)
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    return F.when(F.size(joining) == 0, whole).when(n < BORDERS, let(with_bits, by_bits)).otherwise(let(joining, by_list))
 
 
 def encode_words(words: DataFrame, model: PieceModel, *, word_col: str = "word") -> DataFrame:
