@@ -1,9 +1,12 @@
 """Extraction, licences, quality rules, language ID, URL filters, mixing and pieces against brute force."""
 
 import dataclasses
+import json
+import pathlib
 import random
 import re
 from collections import Counter
+from html.parser import HTMLParser
 from zlib import crc32
 
 import numpy as np
@@ -62,6 +65,95 @@ def test_wrapper_repeats_and_options():
     assert slot.name == "#" and slot.fixed is None
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 10])
+def test_shared_text_of_an_article_stays(spark, n):
+    body = (
+        '<nav><a href=1>Home</a></nav><article><h1>Introduction</h1><p>shared lead</p><p>text {0}</p><p class="form">word</p><div class="story-share-text">told</div>'
+        '<div class="social-share">Share this</div><ul><li><a href=2>Ref one</a></li><li><a href=3>Ref two</a></li></ul><h2>See also</h2></article><div>All say this</div>'
+    )
+    df = spark.createDataFrame([(i, "https://h.example/", f"<html><body>{body.format(i)}</body></html>") for i in range(n)], "page_id long, url string, html string")
+    want = {i: f"Introduction shared lead text {i} word told Ref one Ref two See also" for i in range(n)}
+    assert {r.page_id: r.text for r in html_wrappers.extract_pages(df).collect()} == want
+
+
+def test_places_without_article_elements():
+    read = lambda pages: [html_wrappers.generalised(html_wrappers.read_page(x)) for x in pages]
+
+    def texts(pages):
+        wrapper = None
+        for x in read(pages):
+            wrapper = html_wrappers.merged(wrapper, x)
+        wrapper = html_wrappers.Node.unpack(json.loads(json.dumps(wrapper.pack())))
+        return [html_wrappers.extract(x, html_wrappers.decide(wrapper)) for x in pages]
+
+    flat = "<body><div><a>Home</a> <a>News</a></div><h1>Same head</h1><p>text {0} is here</p><ul><li><a>ref</a></li></ul><p>more {0}</p><div>About us</div></body>"
+    assert texts([flat.format(i) for i in range(3)]) == [f"Same head text {i} is here ref more {i}" for i in range(3)]
+    boxed = "<div><ul><li><a>Home</a></li></ul></div><section><div><h2>Same</h2><p>body {0} of it</p><p>same end</p></div></section><div><p>tail</p></div>"
+    assert texts([boxed.format(i * 17) for i in range(4)]) == [f"Same body {i * 17} of it same end" for i in range(4)]
+    assert texts(['<form id=f><input><main><p>in a form</p></main></form>']) == ["in a form"]
+    assert texts(["<div class=no-sidebar><div class=post><p>a b c d e f</p></div></div>"]) == ["a b c d e f"]
+    assert texts(["<article><p>a</p><section class=comments><article class=comment><p>c</p></article><p>d</p></section></article>"]) == ["a"]
+
+
+def test_hostile_pages():
+    deep = "<div>" * 100_000 + "<article>in</article><nav><p>menu" + "</p></nav>" + "</div>" * 100_000
+    assert html_wrappers.extract(deep, None) == "in"
+    assert html_wrappers.extract("<article>" + "<li><div>" * 30_000 + "x", None) == "x"
+    many = "<article>" + "".join(f"<p>w{i}</p><div class=c{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100 % 6]}>d</div>" for i in range(100_000)) + "</article>"
+    assert html_wrappers.extract(many, None) == " ".join(f"w{i} d" for i in range(100_000))
+    one, two = (html_wrappers.generalised(html_wrappers.read_page("".join(f"<{t}><b>{i}</b></{t}>" for i, t in enumerate(order)))) for order in (["x-" + chr(97 + i % 26) * (i // 26 + 1) for i in range(4000)], ["x-" + chr(97 + i % 26) * (i // 26 + 1) for i in reversed(range(4000))]))
+    assert len(html_wrappers.merged(one, two).kids) <= html_wrappers.WIDE
+    long = "<main><p>" + "word " * 2_000_000 + "</p>" + "<p>tail</p>" * 200_000 + "</main>"
+    assert len(html_wrappers.extract(long, None)) == 5 * 2_000_000 + 5 * 200_000 - 1
+    assert html_wrappers.extract("<div " + 'a="' * 50_000 + "<p>x", None) in ("", "x")
+
+
+@given(st.lists(st.sampled_from("abcdef"), max_size=300), st.lists(st.sampled_from("abcdefxyz"), max_size=300), st.booleans())
+@settings(max_examples=60, deadline=None)
+def test_common_names(a, b, numbered):
+    if numbered:  # many different names: the linear way
+        a, b = [x + str(i % 97) for i, x in enumerate(a)], [x + str(i % 89) for i, x in enumerate(b)]
+    got = html_wrappers._common(a, b)
+    assert all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
+    if a == b:
+        assert len(got) == len(a)
+
+
+def test_pages_table_against_a_plain_parser(spark):
+    """The generator's pages hold their text in one article each; a plain parser collects its blocks."""
+    path = pathlib.Path("/root/testdata/sf0.01/pages.parquet")
+    if not path.exists():
+        pytest.skip("no test data")
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.depth, self.blocks = 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            if tag in ("p", "h1", "h2", "article", "li", "div"):
+                self.blocks.append("")
+            if tag == "br":
+                self.blocks[-1] += " "
+
+        def handle_endtag(self, tag):
+            self.depth -= tag == "article"
+            if tag in ("p", "h1", "h2", "article", "li", "div"):
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.depth:
+                self.blocks[-1] += data
+
+    pages = spark.read.parquet(str(path))
+    got = {r.page_id: r.text for r in html_wrappers.extract_pages(pages).collect()}
+    for r in pages.collect():
+        plain = Plain()
+        plain.feed(r.html or "")
+        assert got[r.page_id] == " ".join(filter(None, (" ".join(b.split()) for b in plain.blocks)))
+
+
 def brute_license(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     places, labels = [], set()
