@@ -31,7 +31,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = simhash.near_duplicates(docs, shingle=4, distance=4, both=None)
+    found = simhash.near_duplicates(docs, shingle=4, distance=4, similarity=None)
     return found.select(F.col("id").alias("doc_id"), simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 

@@ -12,19 +12,24 @@ near copies costs a row for each copy. Runs of many entries are searched breadth
 fingerprint is compared only with those not yet reached. Equal fingerprints form one class before, so
 exact copies are never compared.
 
-``near_duplicates`` with ``both`` links by exact Jaccard similarity of shingle sets. Its candidates come from
-128 bits with a bound that nearly all pairs of that similarity keep; too wide for probes, so classes of
-near sizes are compared block by block (sizes of similar sets differ by the similarity at most). A block
-names its classes that have candidates; their sets are brought there, and a forest of exact links returns.
-
-Defined cases: a null text or one without words has fingerprint zero, linked like any other; a text of
-fewer words than a shingle has one shingle, all its words; rows of one id count separately; a null id
-is never a component's id; an empty table gives an empty result.
+``near_duplicates`` with ``similarity`` links by exact Jaccard similarity of shingle sets. No pigeonhole over a
+distance that such sets keep is selective (at 0.8 they differ in 15 % of the bits on average), so the partitions
+are bands of ``WIDE_BITS`` bits, as wide as the number of texts allows and as many as a stated recall needs
+(``plan_bands``); probing is by equal bands, and a candidate differs in few of the first 128 bits. Candidates make
+groups, each text's set of shingles travels to its group, and sets are compared there; what is linked already
+isn't compared again. Groups larger than a block are compared block by block: first each block, then the blocks'
+classes by their smallest members, then, of what is still apart, all pairs of blocks.
+
+Defined cases: a null text or one without words has fingerprint zero, linked like any other (with ``similarity``:
+linked to each other); a text of fewer words than a shingle has one shingle, all its words; rows of one id count
+separately; a null id is never a component's id; ids are integers; texts may be of any length; no column but the
+id and the text is looked at, so clashing names don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,12 +53,19 @@ CHUNK_PAIRS = 2_000_000
 #: Pairs of a run from which it is compared as one matrix, and not gathered with others.
 WIDE_RUN = 4_000
 LARGE_RUN = 4_000_000
-#: Bits of both fingerprints, of 128, that sets of Jaccard similarity 0.8 differ in: 19.4 on average (cosine
-#: 2 * 0.8 / 1.8, angle times 128 / 180 degrees), with a deviation of 4.1; all but 1 in 10,000 stay within WIDE_128.
-SIMILAR_128, WIDE_128 = 19, 36
+#: Sets of Jaccard similarity s have a cosine of 2s / (1 + s); their fingerprints differ in acos of it / pi of the bits,
+#: at 0.8 in 19.4 of 128 with a deviation of 4.1, and in 9.7 of 64 with one of 2.9. All but 1 in 10,000 stay within these.
+WIDE_128, WIDE_64 = 36, 21
 SIMILARITY = 0.8
-#: Classes of a block, and shingles; blocks of similar sizes meet in pairs.
+#: Bits that bands are taken from; the share of pairs of just the similarity that share a band; comparisons that a
+#: class costs in a band, about, as a power of two.
+LANES = 8
+WIDE_BITS = 64 * LANES
+RECALL = 0.95
+RUN_POWER = 10
+#: Classes of a block, and shingles: what one task compares.
 BLOCK, BLOCK_SHINGLES = 32_768, 8_000_000
+_LANE = np.arange(LANES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def text_hashes(text: bytes, size: int) -> np.ndarray:
@@ -82,27 +94,44 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, second: bool = False) -> DataFrame:
-    """(id, fp, fp2, size, digest) of every row.
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """``LANES`` independent fingerprints of a set of hashes; the first one is ``fingerprint``'s."""
+    counts = np.zeros(WIDE_BITS, np.int64)
+    for a in range(0, len(hashes), 8192):
+        part = hashes[a : a + 8192, None] + _LANE
+        part[:, 1:] = mix(part[:, 1:])
+        counts += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
 
-    With ``second``, fp2 is a second, independent fingerprint, both are of the set of shingles, and size
-    and digest are that set's; else fp counts repeats and the others are 0.
+
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, wide: bool = False) -> DataFrame:
+    """(id, fp, fp2, size, digest, wide) of every row.
+
+    With ``wide``, the fingerprints are of the set of shingles, fp2 is a second one, ``wide`` holds all, and size and
+    digest are that set's; else fp counts repeats and the others are 0 and null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two, size, digest = [], [], [], []
+            one, two, size, digest, lanes = [], [], [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 h = text_hashes(text or b"", shingle)
-                h = np.unique(h) if second else h
-                one.append(fingerprint(h))
-                two.append(fingerprint(mix(h)) if second else 0)
-                size.append(len(h) if second else 0)
-                digest.append(xxhash.xxh64_intdigest(h.tobytes(), SEED) if second else 0)
+                if wide:
+                    h = np.unique(h)
+                    w = wide_fingerprint(h)
+                    one.append(w[0])
+                    two.append(w[1])
+                    lanes.append(w.tobytes())
+                else:
+                    one.append(fingerprint(h))
+                    two.append(0)
+                    lanes.append(None)
+                size.append(len(h) if wide else 0)
+                digest.append(xxhash.xxh64_intdigest(h.tobytes(), SEED) if wide else 0)
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed(one), signed(two), pa.array(size, pa.int64()), signed(digest)], names=["id", "fp", "fp2", "size", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed(one), signed(two), pa.array(size, pa.int64()), signed(digest), pa.array(lanes, pa.binary())], names=["id", "fp", "fp2", "size", "digest", "wide"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, fp long, fp2 long, size long, digest long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, fp long, fp2 long, size long, digest long, wide binary")
 
 
 @dataclass(frozen=True)
@@ -191,7 +220,7 @@ def plan_probes(classes: DataFrame, n: int, distance: int) -> list[Probe]:
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) for nodes that aren't roots: as connected as the edges, with the smallest node as root."""
+    """(node, smaller node): as connected as the edges; each node has three edges at most, so that none is a hub."""
     nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = flat[: len(a)], flat[len(a) :]
     label = np.arange(len(nodes))
@@ -204,8 +233,11 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if (new == label).all():
             break
         label = new
-    child = label != np.arange(len(nodes))
-    return nodes[child], nodes[label[child]]
+    order = np.argsort(label, kind="stable")
+    begin = np.searchsorted(label[order], label[order])
+    place = np.arange(len(order)) - begin
+    child = place > 0
+    return nodes[order[child]], nodes[order[begin[child] + (place[child] - 1) // 2]]
 
 
 def _reached(fp: np.ndarray, fp2: np.ndarray, node: np.ndarray, distance: int, both: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -278,26 +310,27 @@ def link_run(keys: np.ndarray, own: np.ndarray, fp: np.ndarray, fp2: np.ndarray,
     return _forest(np.concatenate(a), np.concatenate(b))
 
 
-def links(classes: DataFrame, probes: list[Probe], n: int, distance: int, both: int | None = None) -> DataFrame:
-    """(a, b) edges over the classes' nodes, connecting what links; a few for each node."""
-    entries = n * sum(1 + len(p.flips) for p in probes)
-    width = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(width, entries // BUCKET_ENTRIES + 1)
-    flips = [np.array((0, *p.flips), np.uint64) for p in probes]
+def _cells(bucket: np.ndarray, buckets: int, *columns: np.ndarray) -> tuple[list[int], list[list[bytes]]]:
+    """The buckets that have entries, and for each column the bytes of each of them."""
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    full = np.flatnonzero(edges[:-1] < edges[1:]).tolist()
+    return full, [[x[order[edges[b] : edges[b + 1]]].tobytes() for b in full] for x in columns]
 
-    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, fp, fp2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            for part, p in enumerate(probes):
-                keys = (fp.view(np.uint64) & np.uint64(p.mask))[:, None] ^ flips[part][None, :]
-                bucket = (mix(keys + np.uint64(part)) % np.uint64(buckets)).astype(np.int64)
-                row, variant = np.divmod(np.arange(keys.size), keys.shape[1])
-                order = np.argsort(bucket.ravel(), kind="stable")
-                edges = np.searchsorted(bucket.ravel()[order], np.arange(buckets + 1))
-                row, variant = row[order], variant[order].astype(np.uint16)
-                full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
-                cell = lambda x: pa.array([x[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary())  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([part] * len(full), pa.int32()), cell(variant), cell(node[row]), cell(fp[row]), cell(fp2[row]) if both is not None else pa.nulls(len(full), pa.binary())], names=["bucket", "part", "variants", "nodes", "fps", "fps2"])
+
+_ENTRIES = "bucket int, part int, keys binary, owns binary, nodes binary, fps binary, fps2 binary"
+
+
+def _meet_entries(entries: DataFrame, distance: int, both: int | None) -> DataFrame:
+    """(a, b): forests of the links among entries of equal keys.
+
+    Buckets of more than four times ``BUCKET_ENTRIES`` entries, as a hot key makes, are split: their cells are dealt
+    into blocks, and blocks meet in pairs.
+    """
+    entries = cut(entries)
+    n = F.sum(F.length("nodes") / 8)
+    hot = {r["bucket"]: -(-int(r["n"]) // BUCKET_ENTRIES) for r in entries.groupBy("bucket").agg(n.alias("n")).where(F.col("n") > 4 * BUCKET_ENTRIES).collect()}
+    columns = ["part", "keys", "owns", "nodes", "fps", "fps2"]
 
     def meet(table: pa.Table) -> pa.Table:
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -305,86 +338,136 @@ def links(classes: DataFrame, probes: list[Probe], n: int, distance: int, both:
         for part in np.unique(parts):
             t = table.filter(pa.array(parts == part))
             read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in t[name].to_pylist()])  # noqa: E731, B023
-            variant, node, fp = read("variants", np.uint16), read("nodes", np.int64), read("fps", np.uint64)
-            fp2 = read("fps2", np.uint64) if both is not None else np.zeros(len(fp), np.uint64)
-            keys = (fp & np.uint64(probes[part].mask)) ^ flips[part][variant]
-            x, y = link_run(keys, variant == 0, fp, fp2, node, distance, both)
+            fp = read("fps", np.uint64)
+            x, y = link_run(read("keys", np.uint64), read("owns", bool), fp, read("fps2", np.uint64) if both is not None else np.zeros(len(fp), np.uint64), read("nodes", np.int64), distance, both)
             a.append(x)
             b.append(y)
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    rows = classes.select("node", "fp", "fp2").mapInArrow(enter, "bucket int, part int, variants binary, nodes binary, fps binary, fps2 binary")
-    return rows.groupBy("bucket").applyInArrow(meet, "a long, b long")
+    if not hot:
+        return entries.select("bucket", *columns).groupBy("bucket").applyInArrow(meet, "a long, b long")
+    blocks = F.coalesce(F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])[F.col("bucket")], F.lit(1))
+    dealt = entries.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("nodes", "keys"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *columns)
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(lambda t: meet(t.drop_columns(["bucket", "i", "j"])), "a long, b long")
 
 
-def _band(size: np.ndarray, similarity: float) -> np.ndarray:
-    """Sets of at least this similarity are in one band or in neighbouring ones; bands are a little wider than that needs."""
-    return np.floor(np.log(np.maximum(size, 1)) / -np.log(similarity * 0.99)).astype(np.int64)
-
+def links(classes: DataFrame, probes: list[Probe], n: int, distance: int, both: int | None = None) -> DataFrame:
+    """(a, b) edges over the classes' nodes, connecting what links; a few for each node."""
+    entries = n * sum(1 + len(p.flips) for p in probes)
+    width = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(width, entries // BUCKET_ENTRIES + 1)
+    flips = [np.array((0, *p.flips), np.uint64) for p in probes]
 
-_PLACE = "k long, i long, l long, j long, first boolean, node long, fp long, fp2 long, size long, digest long"
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, fp, fp2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for part, p in enumerate(probes):
+                keys = (fp.view(np.uint64) & np.uint64(p.mask))[:, None] ^ flips[part][None, :]
+                row, variant = np.divmod(np.arange(keys.size), keys.shape[1])
+                bucket = (mix(keys.ravel() + np.uint64(part)) % np.uint64(buckets)).astype(np.int64)
+                full, cells = _cells(bucket, buckets, keys.ravel(), variant == 0, node[row], fp[row], fp2[row])
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([part] * len(full), pa.int32()), *(pa.array(c, pa.binary()) for c in cells)], names=["bucket", "part", "keys", "owns", "nodes", "fps", "fps2"])
 
+    return _meet_entries(classes.select("node", "fp", "fp2").mapInArrow(enter, _ENTRIES), distance, both)
 
-def _near(t: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs (rows of each side) of a block pair sorted by size: sizes allow the similarity, 128 bits differ in ``WIDE_128`` or fewer."""
-    size, first = t["size"].to_numpy(), t["first"].to_numpy()
-    fp, fp2 = (t[c].to_numpy().view(np.uint64) for c in ("fp", "fp2"))
-    one_block = t["k"][0] == t["l"][0] and t["i"][0] == t["j"][0]
-    left, right = np.flatnonzero(first), np.arange(len(first)) if one_block else np.flatnonzero(~first)
-    for s in range(0, len(left), 256):
-        x = left[s : s + 256]
-        lo, hi = np.searchsorted(size[right], [size[x[0]] * similarity - 1, size[x[-1]] / similarity + 1])
-        for r in range(lo, hi, 8192):
-            y = right[r : min(hi, r + 8192)]
-            i, j = np.nonzero(np.bitwise_count(fp[x, None] ^ fp[None, y]) + np.bitwise_count(fp2[x, None] ^ fp2[None, y]) <= WIDE_128)
-            i, j = x[i], y[j]
-            keep = (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])) & ((i < j) | (not one_block))
-            yield i[keep], j[keep]
 
+def band_recall(width: int, bands: int, similarity: float = SIMILARITY) -> float:
+    """The share of pairs of sets of this similarity that agree in one of the bands."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    out = 0.0
+    for d in range(WIDE_BITS - width + 1):
+        weight = math.exp(math.lgamma(WIDE_BITS + 1) - math.lgamma(d + 1) - math.lgamma(WIDE_BITS - d + 1) + d * math.log(p) + (WIDE_BITS - d) * math.log1p(-p))
+        clean = math.exp(sum(math.log((WIDE_BITS - d - i) / (WIDE_BITS - i)) for i in range(width)))
+        out += weight * (1 - (1 - clean) ** bands)
+    return out
 
-def candidates(classes: DataFrame, similarity: float) -> DataFrame:
-    """Classes at their places in pairs of blocks, where they have candidates there."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = batch.column(0).to_numpy()
-            bands, at = np.unique(_band(size, similarity), return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(bands), pa.array(np.bincount(at, minlength=len(bands))), pa.array(np.bincount(at, size, len(bands)).astype(np.int64))], names=["band", "n", "total"])
+def plan_bands(n: int, similarity: float = SIMILARITY) -> np.ndarray:
+    """The bits of each band: wide enough that some 2 ** ``RUN_POWER`` of n classes share a band by chance, and as many as ``RECALL`` needs.
 
-    rows = classes.select("size").mapInArrow(counted, "band long, n long, total long").groupBy("band").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
-    blocks = {r["band"]: max(-(-r["n"] // BLOCK), -(-r["total"] // BLOCK_SHINGLES)) for r in rows}
+    Comparisons so grow with n times the number of bands, which grows with n to the power of some 0.24.
+    """
+    width = max(6, min(48, math.ceil(math.log2(max(n, 2))) - RUN_POWER))
+    low, high = 0, 1
+    while band_recall(width, high, similarity) < RECALL:
+        low, high = high, 2 * high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if band_recall(width, mid, similarity) >= RECALL else (mid, high)
+    r, out = np.random.default_rng(7), []
+    while len(out) < high:
+        order = r.permutation(WIDE_BITS)
+        out += [order[a : a + width] for a in range(0, WIDE_BITS - width + 1, width)]
+    return np.array(out[:high])
+
+
+def candidates(classes: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): forests that connect the classes that share a band and differ in few bits."""
+    bands = plan_bands(n, similarity)
+    width = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(width, n * len(bands) // BUCKET_ENTRIES + 1)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, size = batch.column(0).to_numpy(), batch.column(3).to_numpy()
-            band = _band(size, similarity)
-            out = []
-            for k in np.unique(band).tolist():
-                at = np.flatnonzero(band == k)
-                own = (mix(node[at].view(np.uint64)) % np.uint64(blocks[k])).astype(np.int64)
-                for j in range(blocks[k]):
-                    out.append((at, np.full(len(at), k), np.minimum(own, j), np.full(len(at), k), np.maximum(own, j), own <= j))
-                for j in range(blocks.get(k + 1, 0)):
-                    out.append((at, np.full(len(at), k), own, np.full(len(at), k + 1), np.full(len(at), j), np.full(len(at), True)))
-                for j in range(blocks.get(k - 1, 0)):
-                    out.append((at, np.full(len(at), k - 1), np.full(len(at), j), np.full(len(at), k), own, np.full(len(at), False)))
-            if out:
-                at, *keys = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, keys), *(c.take(pa.array(at)) for c in batch.columns)], names=["k", "i", "l", "j", "first", *batch.schema.names])
-
-    def meet(table: pa.Table) -> pa.Table:
-        t = table.sort_by("size")
-        has = np.zeros(t.num_rows, bool)
-        for i, j in _near(t, similarity):
-            has[i] = has[j] = True
-        return t.filter(pa.array(has))
+        for whole in batches:
+            for a in range(0, whole.num_rows, 10_000):
+                batch = whole.slice(a, 10_000)
+                node, fp, fp2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                lanes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, WIDE_BITS // 8)
+                bits = np.unpackbits(lanes, axis=1, bitorder="little")
+                keys = np.stack([mix((bits[:, own].astype(np.uint64) << np.arange(len(own), dtype=np.uint64)).sum(axis=1, dtype=np.uint64) + np.uint64(k << 48)) for k, own in enumerate(bands)], axis=1).ravel()
+                row = np.arange(len(keys)) // len(bands)
+                full, cells = _cells((mix(keys) % np.uint64(buckets)).astype(np.int64), buckets, keys, np.ones(len(keys), bool), node[row], fp[row], fp2[row])
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([0] * len(full), pa.int32()), *(pa.array(c, pa.binary()) for c in cells)], names=["bucket", "part", "keys", "owns", "nodes", "fps", "fps2"])
+
+    return _meet_entries(classes.select("node", "fp", "fp2", "wide").mapInArrow(enter, _ENTRIES), WIDE_64, WIDE_128)
+
+
+_PLACE = "place long, group long, side int, node long, size long, label long, shingles binary"
+
+
+def _compared(table: pa.Table, similarity: float) -> pa.Table:
+    """(a, b): a forest of the exact links of a place's groups; sides 0 and 1 are compared with each other, side 2 with itself."""
+    table = table.sort_by([("group", "ascending"), ("size", "ascending")])
+    group, side, node, size, label = (table[c].to_numpy() for c in ("group", "side", "node", "size", "label"))
+    _, flat = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["shingles"]]), return_inverse=True)
+    edges = np.concatenate([[0], np.cumsum(size)])
+    held = np.zeros(len(flat) + 1, bool)
+    now = label.copy()
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(group)], strict=True):
+        for x in range(lo, hi):
+            # Sizes of similar sets differ by the similarity at most; only larger ones are looked at.
+            y = np.arange(x + 1, lo + np.searchsorted(size[lo:hi], size[x] / similarity, side="right"))
+            y = y[(now[y] != now[x]) & ((side[y] != side[x]) | (side[x] == 2))]
+            if not len(y):
+                continue
+            own = flat[edges[x] : edges[x + 1]]
+            held[own] = True
+            for part in range(0, len(y), 512):
+                z = y[part : part + 512]
+                lengths = size[z]
+                places = np.concatenate([flat[edges[v] : edges[v + 1]] for v in z])
+                shared = np.add.reduceat(held[places], np.cumsum(lengths) - lengths, dtype=np.int64)
+                z = z[shared >= similarity * (size[x] + lengths - shared)]
+                if len(z):
+                    joined, at = np.unique(now[z], return_index=True)
+                    now[lo:hi][np.isin(now[lo:hi], joined)] = now[x]
+                    a.append(np.full(len(at), node[x]))
+                    b.append(node[z[at]])
+            held[own] = False
+    x, y = _forest(np.concatenate(a), np.concatenate(b))
+    return pa.table({"a": x, "b": y})
 
-    entries = classes.select("node", "fp", "fp2", "size", "digest").mapInArrow(enter, _PLACE)
-    return entries.groupBy("k", "i", "l", "j").applyInArrow(meet, _PLACE)
 
+def similar(classes: DataFrame, groups: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): exact links, connecting what is similar within each candidate group.
 
-def similar(classes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b): a forest, for each pair of blocks, of candidates whose shingle sets have this Jaccard similarity; texts are (id, text)."""
+    classes are (node, digest, size), groups (node, group), texts (id, text).
+    """
+    spark = classes.sparkSession
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -392,62 +475,64 @@ def similar(classes: DataFrame, texts: DataFrame, shingle: int, similarity: floa
             digest = np.array([xxhash.xxh64_intdigest(x, SEED) for x in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest), pa.array(sets, pa.binary())], names=["node", "digest", "shingles"])
 
-    def meet(table: pa.Table) -> pa.Table:
-        t = table.sort_by("size")
-        node, size = t["node"].to_numpy(), t["size"].to_numpy()
-        _, flat = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in t["shingles"]]), return_inverse=True)
-        edges = np.concatenate([[0], np.cumsum(size)])
-        held, component = np.zeros(len(flat) + 1, bool), np.arange(len(node))
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, j in _near(t, similarity):
-            order = np.argsort(i, kind="stable")
-            i, j = i[order], j[order]
-            begin = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else []
-            for s, e in zip(begin, [*begin[1:], len(i)], strict=False):
-                x, y = i[s], j[s:e]
-                y = y[component[y] != component[x]]
-                if not len(y):
-                    continue
-                own = flat[edges[x] : edges[x + 1]]
-                held[own] = True
-                lengths = size[y]
-                shared = np.add.reduceat(held[np.concatenate([flat[edges[v] : edges[v + 1]] for v in y])], np.cumsum(lengths) - lengths, dtype=np.int64)
-                held[own] = False
-                y = y[shared >= similarity * (size[x] + lengths - shared)]
-                if len(y):
-                    joined, at = np.unique(component[y], return_index=True)
-                    component[np.isin(component, joined)] = component[x]
-                    a.append(np.full(len(at), node[x]))
-                    b.append(node[y[at]])
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    places = cut(candidates(classes.where("size > 0"), similarity))
-    named = places.select("node", "digest").distinct()
+    members = classes.join(groups, "node")
     # An id may have rows in several classes, so the digest names the set.
-    sets = texts.join(named.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("id", "text").mapInArrow(gather, "node long, digest long, shingles binary")
-    sets = sets.join(named, ["node", "digest"], "left_semi").dropDuplicates(["node", "digest"])
-    return places.join(sets, ["node", "digest"]).groupBy("k", "i", "l", "j").applyInArrow(meet, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 10, both: float | None = SIMILARITY) -> DataFrame:
+    sets = texts.join(groups.select(F.col("node").alias("id")), "id", "left_semi").select("id", "text").mapInArrow(gather, "node long, digest long, shingles binary")
+    members = cut(members.join(sets.dropDuplicates(["node", "digest"]), ["node", "digest"]).select("node", "size", "group", "shingles"))
+    sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    # Of n classes and t shingles no more than n / BLOCK + t / BLOCK_SHINGLES groups are larger than a block.
+    large = cut(sizes.select(F.col("group").alias("large"), blocks.alias("blocks")).where("blocks > 1"))
+    total = members.agg(F.sum("size")).first()[0] or 0
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    places = max(width, int(total // BLOCK_SHINGLES) + 1)
+
+    def meet(rows: DataFrame) -> DataFrame:
+        return rows.select("place", "group", "side", "node", "size", "label", "shingles").groupBy("place").applyInArrow(lambda t: _compared(t, similarity), "a long, b long")
+
+    def spread(rows: DataFrame) -> DataFrame:
+        joined = rows.join(F.broadcast(large), F.col("group") == F.col("large"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        return joined.withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+
+    one = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(places))).otherwise(F.xxhash64("group", "own"))
+    found = cut(meet(spread(members).withColumn("label", F.col("node")).select("*", one.alias("place"), F.lit(2).alias("side"))))
+    if not large.take(1):
+        return found
+    big = members.join(F.broadcast(large), F.col("group") == F.col("large"), "left_semi")
+
+    def labelled(edges: DataFrame) -> DataFrame:
+        known = components(edges).select(F.col("node").alias("known"), "component")
+        return big.join(known, F.col("node") == F.col("known"), "left").withColumn("label", F.coalesce("component", "node")).drop("known", "component")
+
+    # The smallest member stands for each class of a block: most classes of a large group are one, and meet here.
+    least = labelled(found).where("label = node")
+    ranked = least.withColumn("place", F.xxhash64("group", F.pmod(F.xxhash64("node", F.lit("least")), F.greatest(F.lit(1), F.lit(int(least.count() // BLOCK))))))
+    found = cut(found.unionByName(meet(ranked.withColumn("side", F.lit(2)))))
+    apart = cut(labelled(found))
+    open_ = apart.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("group")
+    rest = spread(apart.join(open_, "group", "left_semi")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <> other")
+    rest = rest.withColumn("place", F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other"))).withColumn("side", (F.col("own") < F.col("other")).cast("int"))
+    return found.unionByName(meet(rest))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 4, similarity: float | None = SIMILARITY) -> DataFrame:
     """(id, fp, component_id) of every row.
 
-    Without ``both``, fingerprints of ``distance`` or fewer differing bits link. With it, texts link whose
-    shingle sets have at least that Jaccard similarity, whatever ``distance``. The bound of candidates is
-    that of similarity 0.8; comparisons grow with the square of the distinct sets of similar sizes (see the
-    README).
+    With ``similarity``, texts link whose shingle sets have at least that Jaccard similarity; without it,
+    fingerprints (that count repeats) of ``distance`` or fewer differing bits.
     """
-    marks = cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, second=both is not None))
+    marks = cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, wide=similarity is not None))
     same = ["fp", "fp2", "size", "digest"]
-    classes = cut(marks.groupBy(*same).agg(F.min("id").alias("node")))
+    classes = cut(marks.groupBy(*same).agg(F.min("id").alias("node"), F.first("wide").alias("wide")))
     nodes = classes.where("node IS NOT NULL")
     n = nodes.count()
     if n < 2:
         return marks.join(classes, same).select("id", "fp", F.col("node").alias("component_id"))
-    if both is None:
+    if similarity is None:
         forest = links(nodes, plan_probes(nodes, n, distance), n, distance)
     else:
-        forest = similar(nodes, docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), shingle, both)
+        groups = cut(components(candidates(nodes.where("size > 0"), n, similarity)).withColumnRenamed("component", "group"))
+        forest = similar(nodes.select("node", "digest", "size"), groups, docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), shingle, similarity)
     found = components(forest).withColumnRenamed("node", "__node")
     classes = classes.join(found, classes["node"] == found["__node"], "left").select(*same, F.coalesce("component", "node").alias("component_id"))
     return marks.join(classes, same).select("id", "fp", "component_id")

@@ -105,7 +105,7 @@ def brute_components(ids, fps, distance):
 
 def test_simhash_equals_brute_force(spark):
     rows = corpus(3)
-    got = simhash.near_duplicates(frame(spark, rows), shingle=4, distance=4, both=None).select("id", simhash.fingerprint_hex("fp").alias("h"), "component_id").collect()
+    got = simhash.near_duplicates(frame(spark, rows), shingle=4, distance=4, similarity=None).select("id", simhash.fingerprint_hex("fp").alias("h"), "component_id").collect()
     fps = [brute_fingerprint(t, 4) for _, t in rows]
     want = brute_components([i for i, _ in rows], fps, 4)
     assert {r.id: (r.h, r.component_id) for r in got} == {i: (f"{f:016x}", want[i]) for (i, _), f in zip(rows, fps, strict=True)}
@@ -142,7 +142,7 @@ def test_pigeonhole_of_the_plan(spark):
 
 def test_simhash_odd_rows(spark):
     df = frame(spark, [(None, "a b c d e f"), (3, "a b c d e f"), (3, "A B c d e f"), (9, None), (8, ""), (7, "z")], "doc_id long, text string").withColumn("fp", F.lit("clash"))
-    got = simhash.near_duplicates(df, shingle=5, distance=3)
+    got = simhash.near_duplicates(df, shingle=5)
     assert sorted((r.id or -1, r.component_id) for r in got.collect()) == [(-1, 3), (3, 3), (3, 3), (7, 7), (8, 8), (9, 8)]
     assert simhash.near_duplicates(df.limit(0)).collect() == []
 
@@ -266,3 +266,41 @@ def test_substrings_of_one_hot_id(spark, monkeypatch):
     rows = [(None if i % 2 else 7, f"own{i} {passage}") for i in range(60)]
     got = substring_dedup.dedup_substrings(frame(spark, rows)).collect()
     assert sorted((r.doc_id is None, r.n_removed) for r in got) == [(False, 0)] + [(False, 25)] * 29 + [(True, 25)] * 30
+
+
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 9)
+    monkeypatch.setattr(simhash, "BUCKET_ENTRIES", 40)
+    r = random.Random(8)
+    rows, words = [], [f"w{r.randrange(10**6)}" for _ in range(150)]
+    for i in range(120):  # a text that drifts, so that only near ones are similar, and two breaks in it
+        if i in (40, 80):
+            words = [w + "x" if k % 30 == 0 else w for k, w in enumerate(words)]
+        words[r.randrange(150)] = f"n{i}"
+        rows.append((1000 - i, " ".join(words)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    to = [i for i, _ in rows]
+    for x in range(len(rows)):
+        for y in range(x):
+            if 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y]):
+                low, high = sorted((to[x], to[y]))
+                to = [low if v == high else v for v in to]
+    got = {x.id: x.component_id for x in simhash.near_duplicates(frame(spark, rows)).collect()}
+    assert len(set(to)) > 1 and got == dict(zip([i for i, _ in rows], to, strict=True))
+
+
+@pytest.mark.parametrize("n", [10_000, 10_000_000, 10**10])
+def test_recall_of_bands(n):
+    r = np.random.default_rng(n % 97)
+    bands = simhash.plan_bands(n)
+    assert simhash.band_recall(bands.shape[1], len(bands)) >= 0.95
+    hit = {0.8: 0, 0.9: 0}
+    for s in hit:
+        for _ in range(200):
+            size = int(r.integers(40, 400))
+            both = round(2 * size * s / (1 + s))
+            h = r.integers(0, 2**63, 2 * size - both, dtype=np.int64).view(np.uint64)
+            a, b = (np.unpackbits(simhash.wide_fingerprint(x).view(np.uint8), bitorder="little") for x in (h[:size], h[size - both :]))
+            near = np.bitwise_count(simhash.wide_fingerprint(h[:size])[:2] ^ simhash.wide_fingerprint(h[size - both :])[:2])
+            hit[s] += (a[bands] == b[bands]).all(axis=1).any() and near[0] <= simhash.WIDE_64 and near.sum() <= simhash.WIDE_128
+    assert hit[0.8] >= 0.9 * 200 and hit[0.9] >= 0.99 * 200
