@@ -220,7 +220,11 @@ def plan_probes(classes: DataFrame, n: int, distance: int) -> list[Probe]:
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, smaller node): as connected as the edges; each node has three edges at most, so that none is a hub."""
+    """(node, node): trees that connect the same as the edges.
+
+    Each is the Cartesian tree of its nodes in order under a hash, so that no node is a hub, paths are short, and
+    trees over nearly the same nodes have nearly the same edges.
+    """
     nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = flat[: len(a)], flat[len(a) :]
     label = np.arange(len(nodes))
@@ -234,10 +238,24 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             break
         label = new
     order = np.argsort(label, kind="stable")
-    begin = np.searchsorted(label[order], label[order])
-    place = np.arange(len(order)) - begin
-    child = place > 0
-    return nodes[order[child]], nodes[order[begin[child] + (place[child] - 1) // 2]]
+    rank = mix(nodes.astype(np.uint64)).tolist()
+    above = [-1] * len(nodes)
+    stack: list[int] = []
+    of = -1
+    for i, group in zip(order.tolist(), label[order].tolist(), strict=True):
+        if group != of:
+            stack, of = [], group
+        last = -1
+        while stack and rank[stack[-1]] < rank[i]:
+            last = stack.pop()
+        if last >= 0:
+            above[last] = i
+        if stack:
+            above[i] = stack[-1]
+        stack.append(i)
+    above = np.array(above, np.int64)
+    child = np.flatnonzero(above >= 0)
+    return nodes[child], nodes[above[child]]
 
 
 def _reached(fp: np.ndarray, fp2: np.ndarray, node: np.ndarray, distance: int, both: int | None) -> tuple[np.ndarray, np.ndarray]:
