@@ -2,7 +2,7 @@
 
 Block layout: a byte for the width p, a byte for the count n, then ceil(p n / 8) bytes of values, lowest
 bits first. Sizes, widths and skip pointers are relational; only the bytes themselves are made and read by
-Arrow functions, block by block.
+Arrow functions, all blocks of one width and count at once.
 """
 
 from __future__ import annotations
@@ -11,11 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import cut
+
 BLOCK = 128
+#: Blocks of a term whose sizes one task sums in a row.
+RUN_BLOCKS = 4096
 
 
 def pack_block(gaps: np.ndarray) -> bytes:
@@ -69,6 +73,41 @@ def skip_pointers_of(data: bytes) -> list[tuple[int, int]]:
     return out
 
 
+def pack_blocks(gaps: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The bytes of many blocks, whose gaps lie one after the other; blocks of one width and count are packed together."""
+    begins = np.concatenate([[0], ends[:-1]])
+    counts = ends - begins
+    widths = np.maximum(1, np.frexp(np.maximum.reduceat(gaps, begins).astype(np.float64))[1]) if len(ends) else counts
+    out: list[bytes] = [b""] * len(ends)
+    for kind in np.unique(widths * 256 + counts):
+        width, n = divmod(int(kind), 256)
+        own = np.flatnonzero((widths == width) & (counts == n))
+        values = gaps[begins[own][:, None] + np.arange(n)]
+        bits = (values[:, :, None] >> np.arange(width) & 1).astype(np.uint8).reshape(len(own), n * width)
+        packed = np.packbits(bits, axis=1, bitorder="little")
+        head = np.tile(np.array([width, n], np.uint8), (len(own), 1))
+        raw, size = np.concatenate([head, packed], axis=1).tobytes(), 2 + packed.shape[1]
+        for j, k in enumerate(own.tolist()):
+            out[k] = raw[j * size : (j + 1) * size]
+    return out
+
+
+def unpack_blocks(blocks: list[bytes]) -> list[np.ndarray]:
+    """The gaps of many blocks of one list each; blocks of one width and count are read together."""
+    by: dict[tuple[int, int, int], list[int]] = {}
+    for k, b in enumerate(blocks):
+        by.setdefault((len(b), b[0], b[1]) if len(b) > 1 else (len(b), 0, 0), []).append(k)
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(blocks)
+    for (size, width, n), own in by.items():
+        if width == 0 or size != 2 + -(-width * n // 8):
+            raise ValueError("truncated block")
+        rows = np.frombuffer(b"".join([blocks[k] for k in own]), np.uint8).reshape(len(own), size)
+        bits = np.unpackbits(rows[:, 2:], axis=1, count=width * n, bitorder="little").reshape(len(own), n, width)
+        for k, gaps in zip(own, (bits.astype(np.int64) << np.arange(width)).sum(axis=2), strict=True):
+            out[k] = gaps
+    return out
+
+
 def block_stats(ranked: DataFrame) -> DataFrame:
     """(term, block, n, first_doc, width, bytes) of ranked postings."""
     blocks = ranked.groupBy("term", F.floor(F.col("rank") / BLOCK).cast("long").alias("block")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("gap").alias("__gap"))
@@ -76,10 +115,23 @@ def block_stats(ranked: DataFrame) -> DataFrame:
     return blocks.select("term", "block", "n", "first_doc", width.alias("width"), (2 + F.ceil(width * F.col("n") / 8)).cast("long").alias("bytes"))
 
 
+def _with_offsets(blocks: DataFrame, size: Column) -> DataFrame:
+    """Blocks with the bytes before each in its term's list: sums within runs of blocks, and over the runs before.
+
+    The blocks are stored first, so that they are made once.
+    """
+    rows = cut(blocks).withColumn("__run", F.floor(F.col("block") / RUN_BLOCKS))
+    runs = rows.groupBy("term", "__run").agg(F.sum(size).alias("__size"))
+    earlier = Window.partitionBy("term").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("term", "__run", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before"))
+    within = Window.partitionBy("term", "__run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__within", F.coalesce(F.sum(size).over(within), F.lit(0))).join(runs, ["term", "__run"])
+    return rows.withColumn("byte_offset", (F.col("__before") + F.col("__within")).cast("long"))
+
+
 def skip_pointers(ranked: DataFrame) -> DataFrame:
     """(term, block, first_doc, byte_offset)."""
-    earlier = Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return block_stats(ranked).select("term", "block", "first_doc", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).cast("long").alias("byte_offset"))
+    return _with_offsets(block_stats(ranked), F.col("bytes")).select("term", "block", "first_doc", "byte_offset")
 
 
 def sizes(ranked: DataFrame) -> DataFrame:
@@ -90,13 +142,14 @@ def sizes(ranked: DataFrame) -> DataFrame:
 @F.pandas_udf(T.BinaryType())
 def _packed(blocks: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for series in blocks:
-        yield series.map(lambda g: pack_block(np.asarray(g, np.int64)))
+        lists = list(series)
+        flat = np.concatenate([np.asarray(x, np.int64) for x in lists] or [np.zeros(0, np.int64)])
+        yield pd.Series(pack_blocks(flat, np.cumsum([len(x) for x in lists], dtype=np.int64)), dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
-def _unpacked(blocks: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for series in blocks:
-        yield series.map(lambda b: unpack_block(b)[0])
+def _ids(blocks: pd.Series, first: pd.Series) -> pd.Series:
+    return pd.Series([f + np.cumsum(g) - g[0] for g, f in zip(unpack_blocks([bytes(b) for b in blocks]), first, strict=True)], dtype=object)
 
 
 def pack(ranked: DataFrame) -> DataFrame:
@@ -104,12 +157,9 @@ def pack(ranked: DataFrame) -> DataFrame:
     gaps = F.transform(F.sort_array(F.collect_list(F.struct("rank", "gap"))), lambda x: x["gap"])
     blocks = ranked.groupBy("term", F.floor(F.col("rank") / BLOCK).cast("long").alias("block")).agg(F.count("*").cast("int").alias("n"), F.min("doc_id").alias("first_doc"), gaps.alias("gaps"))
     packed = blocks.select("term", "block", "n", "first_doc", _packed("gaps").alias("bytes"))
-    earlier = Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return packed.select("term", "block", "n", "first_doc", F.coalesce(F.sum(F.length("bytes")).over(earlier), F.lit(0)).cast("long").alias("byte_offset"), "bytes")
+    return _with_offsets(packed, F.length("bytes")).select("term", "block", "n", "first_doc", "byte_offset", "bytes")
 
 
 def unpack(blocks: DataFrame) -> DataFrame:
     """(doc_id, term) of packed blocks; each block decodes by itself from its first id."""
-    gaps = F.col("__gaps")
-    ids = F.aggregate(F.slice(gaps, 2, F.size(gaps)), F.array("first_doc"), lambda a, g: F.concat(a, F.array(F.element_at(a, -1) + g)))
-    return blocks.select("term", "first_doc", _unpacked("bytes").alias("__gaps")).select(F.explode(ids).alias("doc_id"), "term")
+    return blocks.select(F.explode(_ids("bytes", "first_doc")).alias("doc_id"), "term")

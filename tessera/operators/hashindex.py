@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HASH_BITS = 28
@@ -65,9 +65,18 @@ class HashTable:
     initial_depth: int = 1
 
     @staticmethod
-    def create(rows: DataFrame, *, keys: Sequence[str] | None = None, max_bytes: int = 4096, initial_depth: int = 1) -> HashTable:
+    def create(rows: DataFrame, *, keys: Sequence[str] | None = None, max_bytes: int = 4096, initial_depth: int = 1, order_by: str | None = None) -> HashTable:
+        """Of several rows of a key the last by ``order_by`` stays (by a hash of the row where none is named)."""
         keys = tuple(keys or rows.columns)
-        return HashTable(rows.dropDuplicates(list(keys)), keys, max_bytes, initial_depth)
+        if set(keys) == set(rows.columns):
+            return HashTable(rows.dropDuplicates(list(keys)), keys, max_bytes, initial_depth)
+        last = Window.partitionBy(*keys).orderBy(*([F.col(order_by).desc()] if order_by else []), F.xxhash64(*rows.columns).desc())
+        return HashTable(rows.withColumn("__row", F.row_number().over(last)).where("__row = 1").drop("__row"), keys, max_bytes, initial_depth)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, *, keys: Sequence[str], max_bytes: int = 4096, initial_depth: int = 1) -> HashTable:
+        """A saved table; a lookup by hash or by record reads one of its parts."""
+        return HashTable(spark.read.parquet(path).drop("part"), tuple(keys), max_bytes, initial_depth)
 
     def upsert(self, more: DataFrame, *, order_by: str | None = None) -> HashTable:
         """Rows of a known key are replaced; of several new ones of a key the last by ``order_by`` stays."""
@@ -89,6 +98,16 @@ class HashTable:
             out = out.where(F.col(name).eqNullSafe(F.lit(value)))
         return out
 
+    def lookup_hash(self, hash_: int) -> DataFrame:
+        """Rows whose keys have this very hash."""
+        return self.hashed().where(F.col("h") == hash_).select(*self.rows.columns)
+
+    def bucket_scan_of(self, **key: object) -> DataFrame:
+        """All rows that share the bucket of a record's key; the key's columns are named and all given."""
+        types = {f.name: f.dataType for f in self.rows.schema}
+        one = self.rows.sparkSession.range(1).select(*[F.lit(key[k]).cast(types[k]).alias(k) for k in self.keys])
+        return self.bucket_scan(one.select(key_hash(key_text(self.keys))).first()[0])
+
     def contains(self, wanted: DataFrame) -> DataFrame:
         """The rows of ``wanted`` whose keys the table has."""
         return wanted.join(self.rows.select(*self.keys), list(self.keys), "left_semi")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import normalize, terms
 from tessera.operators import boolean, codec
+from tessera.session import cut
 
 #: Doc ids to a range inside which a term's postings are ranked by one task.
 SPAN = 1 << 16
@@ -50,8 +51,11 @@ def document_frequency(postings: DataFrame) -> DataFrame:
 
 
 def ranked(postings: DataFrame) -> DataFrame:
-    """(term, doc_id, rank from 0, gap): gap to the previous id of the term, or the id itself at first."""
-    rows = postings.withColumn("__range", F.floor(F.col("doc_id") / SPAN))
+    """(term, doc_id, rank from 0, gap): gap to the previous id of the term, or the id itself at first.
+
+    Postings are stored first: ranges are counted and ranked apart, and texts are read once.
+    """
+    rows = cut(postings).withColumn("__range", F.floor(F.col("doc_id") / SPAN))
     sizes = rows.groupBy("term", "__range").agg(F.count("*").alias("__n"), F.max("doc_id").alias("__last"))
     by_term = Window.partitionBy("term").orderBy("__range")
     before = sizes.select("term", "__range", (F.sum("__n").over(by_term) - F.col("__n")).alias("__before"), F.lag("__last", 1, 0).over(by_term).alias("__previous"))

@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries sent to the tasks at once.
-QUERY_BLOCK = 1024
+#: Queries sent to the tasks at once (each block reads the points once), and rows compared at once.
+QUERY_BLOCK = 8192
+ROWS_AT_ONCE = 4096
 
 
 def distance(vector: Column, query: Sequence[float]) -> Column:
@@ -62,30 +63,35 @@ def _blocks(queries: DataFrame, id_col: str, vec_col: str) -> Iterator[tuple[np.
 
 
 def _near(points: DataFrame, block: tuple[np.ndarray, np.ndarray], id_col: str, vec_col: str, k: int | None, radius: float | None) -> DataFrame:
-    """(qid, id, dist): from each batch of rows, for each query, the k nearest or those within the radius."""
+    """(qid, id, dist): from each task, for each query, the k nearest of its rows or those within the radius."""
     qids, vectors = block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            rows = np.array(batch.column(1).to_pylist(), np.float64)
-            out: list[list[np.ndarray]] = [[], [], []]
-            for qid, v in zip(qids, vectors, strict=True):
-                if not len(ids):
-                    continue
-                d = rows - v
-                d = np.sqrt((d * d).sum(axis=1))
-                if k is None:
-                    at = np.flatnonzero(d <= radius)
-                elif k < len(d):
-                    at = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-                    at = at[np.lexsort((ids[at], d[at]))][:k]
-                else:
-                    at = np.arange(len(d))
-                for held, x in zip(out, (np.full(len(at), qid), ids[at], d[at]), strict=True):
-                    held.append(x)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["qid", "id", "dist"])
+        none = (np.zeros(0, np.int64), np.zeros(0))
+        best = [none] * len(qids)  # the k nearest of the task so far
+        for whole in batches:
+            for a in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(a, ROWS_AT_ONCE)
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                rows = np.array(batch.column(1).to_pylist(), np.float64)
+                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                for j, v in enumerate(vectors):
+                    d = rows - v
+                    d = np.sqrt((d * d).sum(axis=1))
+                    if k is None:
+                        at = np.flatnonzero(d <= radius)
+                        out.append((np.full(len(at), qids[j]), ids[at], d[at]))
+                        continue
+                    at = np.flatnonzero(d <= best[j][1][-1]) if len(best[j][1]) >= k else np.arange(len(d))
+                    if len(at):
+                        near, far = np.concatenate([best[j][0], ids[at]]), np.concatenate([best[j][1], d[at]])
+                        order = np.lexsort((near, far))[:k]
+                        best[j] = near[order], far[order]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["qid", "id", "dist"])
+        if k is not None and len(qids):
+            sizes = [len(x[0]) for x in best]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, sizes)), *(pa.array(np.concatenate([x[i] for x in best])) for i in (0, 1))], names=["qid", "id", "dist"])
 
     return points.select(F.col(id_col).cast("long"), F.col(vec_col)).mapInArrow(run, "qid long, id long, dist double")
 

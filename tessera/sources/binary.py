@@ -7,11 +7,13 @@ task reads or writes whole files; a written folder has one self-contained file f
 
 from __future__ import annotations
 
-import os
+import posixpath
 import struct
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -83,12 +85,20 @@ def write_index(rows: list[tuple[str, bytes, list[tuple[int, int]]]]) -> bytes:
     return b"".join(out)
 
 
+def _place(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI (local, hdfs, ...), and the path there."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
 def _files(path: str) -> list[str]:
-    if os.path.isdir(path):
-        return sorted(os.path.join(path, n) for n in os.listdir(path) if not n.startswith((".", "_")))
-    if not os.path.exists(path):
+    store, at = _place(path)
+    found = store.get_file_info(at)
+    if found.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
-    return [path]
+    if found.type == fs.FileType.File:
+        return [at]
+    inside = store.get_file_info(fs.FileSelector(at))
+    return sorted(x.path for x in inside if x.type == fs.FileType.File and not x.base_name.startswith((".", "_")))
 
 
 class _Reader(DataSourceReader):
@@ -99,33 +109,66 @@ class _Reader(DataSourceReader):
         return [InputPartition(f) for f in _files(self.path)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, "rb") as f:
+        with _place(self.path)[0].open_input_stream(partition.value) as f:
             data = f.read()
         if self.index:
             for term, posting, skips in read_index(data):
                 yield term, posting, skips
         else:
             for i, record in enumerate(read_records(data)):
-                yield os.path.basename(partition.value), i, record
+                yield posixpath.basename(partition.value), i, record
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    part: str | None
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, path: str, index: bool, size: int):
+    """Tasks write hidden part files; the driver gives those of successful tasks their names, and drops the others.
+
+    A task that is run twice so leaves one file, as only one of its messages is committed.
+    """
+
+    def __init__(self, path: str, index: bool, size: int, overwrite: bool):
         self.path, self.index, self.size = path, index, size
-        os.makedirs(path, exist_ok=True)
+        self.job = uuid.uuid4().hex
+        store, at = _place(path)
+        store.create_dir(at, recursive=True)
+        self.old = _files(path) if overwrite else []
+
+    def _parts(self) -> list[str]:
+        store, at = _place(self.path)
+        return [x.path for x in store.get_file_info(fs.FileSelector(at)) if x.base_name.startswith(f".{self.job}")]
 
-    def write(self, iterator: Iterator) -> WriterCommitMessage:
+    def write(self, iterator: Iterator) -> _Written:
         rows = list(iterator)
-        if rows:
-            if self.index:
-                data = write_index([(r["term"], bytes(r["posting"]), [(s["doc_id"], s["byte_offset"]) for s in r["skips"]]) for r in rows])
-            else:
-                data = write_records([bytes(r["record"]) for r in rows], self.size)
-            name = os.path.join(self.path, f"{'index' if self.index else 'bucket'}_{uuid.uuid4().hex}")
-            with open(name + ".part", "wb") as f:
-                f.write(data)
-            os.rename(name + ".part", name + (".idx" if self.index else ".dat"))
-        return WriterCommitMessage()
+        if not rows:
+            return _Written(None)
+        if self.index:
+            data = write_index([(r["term"], bytes(r["posting"]), [(s["doc_id"], s["byte_offset"]) for s in r["skips"]]) for r in rows])
+        else:
+            data = write_records([bytes(r["record"]) for r in rows], self.size)
+        store, at = _place(self.path)
+        part = posixpath.join(at, f".{self.job}_{uuid.uuid4().hex}")
+        with store.open_output_stream(part) as f:
+            f.write(data)
+        return _Written(part)
+
+    def commit(self, messages: list) -> None:
+        store, at = _place(self.path)
+        for old in self.old:
+            store.delete_file(old)
+        for m in messages:
+            if m is not None and m.part:
+                name = posixpath.basename(m.part).rsplit("_", 1)[1]
+                store.move(m.part, posixpath.join(at, f"index_{name}.idx" if self.index else f"bucket_{name}.dat"))
+        for part in self._parts():
+            store.delete_file(part)
+
+    def abort(self, messages: list) -> None:
+        for part in self._parts():
+            _place(self.path)[0].delete_file(part)
 
 
 class IndexFileSource(DataSource):
@@ -142,7 +185,7 @@ class IndexFileSource(DataSource):
         return _Reader(self.options["path"], True)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:  # noqa: ANN001
-        return _Writer(self.options["path"], True, 0)
+        return _Writer(self.options["path"], True, 0, overwrite)
 
 
 class BucketFileSource(DataSource):
@@ -159,7 +202,7 @@ class BucketFileSource(DataSource):
         return _Reader(self.options["path"], False)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:  # noqa: ANN001
-        return _Writer(self.options["path"], False, int(self.options.get("size", 4096)))
+        return _Writer(self.options["path"], False, int(self.options.get("size", 4096)), overwrite)
 
 
 def register(spark: SparkSession) -> None:
