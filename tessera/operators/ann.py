@@ -2,22 +2,24 @@
 
 Training takes a bounded sample of rows (``TRAIN_ROWS``, those of the smallest hashes of their ids); every
 row is indexed. Centroids, codebooks and queries are small and travel in closures; codes and graphs stay
-with the rows.
+with the rows. Indexes are built once, searched as often as wanted, and can be saved and loaded.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import vector
+from tessera.session import cut
 
 TRAIN_ROWS = 20_000
 
@@ -79,6 +81,15 @@ class IVFIndex:
 
         return IVFIndex(centres, points.select(F.col("id").cast("long").alias("id"), "vec").mapInArrow(assign, "id long, vec array<float>, list long"))
 
+    def save(self, path: str) -> None:
+        """Points in a folder for each list, so that a search's lists are known, and the centroids."""
+        self.points.write.mode("overwrite").partitionBy("list").parquet(f"{path}/points")
+        _save_arrays(self.points.sparkSession, f"{path}/centres", [self.centres])
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> IVFIndex:
+        return IVFIndex(_load_arrays(spark, f"{path}/centres")[0], spark.read.parquet(f"{path}/points").withColumn("list", F.col("list").cast("long")))
+
     def search(self, queries: DataFrame, k: int, nprobe: int = 8) -> DataFrame:
         """(qid, id, dist, rank); the probes meet their lists in an equi-join."""
         spark, found = self.points.sparkSession, None
@@ -87,7 +98,7 @@ class IVFIndex:
             probes = spark.createDataFrame([(int(i), [float(x) for x in v], int(c)) for i, v, own in zip(ids, vectors, order, strict=True) for c in own], "qid long, q array<double>, list long")
             part = self.points.join(F.broadcast(probes), "list").select("qid", "id", vector.column_distance(F.col("vec"), F.col("q")).alias("dist"))
             found = part if found is None else found.unionByName(part)
-        return _top(found, k)
+        return _found(spark, found, k)
 
 
 @dataclass
@@ -109,6 +120,14 @@ class PQIndex:
 
         return PQIndex(books, points.select(F.col("id").cast("long").alias("id"), "vec").mapInArrow(code, "id long, vec array<float>, code binary"))
 
+    def save(self, path: str) -> None:
+        self.points.write.mode("overwrite").parquet(f"{path}/points")
+        _save_arrays(self.points.sparkSession, f"{path}/books", self.books)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> PQIndex:
+        return PQIndex(_load_arrays(spark, f"{path}/books"), spark.read.parquet(f"{path}/points"))
+
     def search(self, queries: DataFrame, k: int, rerank: int = 20) -> DataFrame:
         """(qid, id, dist, rank): the rerank * k best by codes, ranked by exact distance."""
         found, books, m = None, self.books, len(self.books)
@@ -130,7 +149,7 @@ class PQIndex:
 
             part = self.points.mapInArrow(near, "qid long, id long, dist double")
             found = part if found is None else found.unionByName(part)
-        return _top(found, k)
+        return _found(self.points.sparkSession, found, k)
 
 
 class Graph:
@@ -145,6 +164,13 @@ class Graph:
         for i in range(len(rows)):
             self._add(i)
 
+    @staticmethod
+    def restored(rows: np.ndarray, held: bytes) -> Graph:
+        graph = Graph.__new__(Graph)
+        graph.rows = rows
+        graph.heights, graph.layers, graph.entry, graph.m, graph.ef = pickle.loads(held)
+        return graph
+
     def _far(self, q: np.ndarray, at: list[int]) -> np.ndarray:
         d = self.rows[at] - q
         return (d * d).sum(axis=1)
@@ -207,54 +233,122 @@ class Graph:
         return self._walk(q, start, 0, max(ef, k))[:k]
 
 
-def hnsw_search(points: DataFrame, queries: DataFrame, k: int, *, m: int = 32, ef_build: int = 40, ef_search: int = 64, shard_rows: int = 20_000) -> DataFrame:
-    """(qid, id, dist, rank): a graph for each shard of rows, searched there; the shards' best are merged."""
-    shards = max(1, points.count() // shard_rows)
-    found = None
+@dataclass
+class HNSWIndex:
+    """A graph for each shard of rows, built once and stored: (shard, ids, vectors, graph), a row for each shard."""
 
-    def searching(ids: np.ndarray, vectors: np.ndarray):  # noqa: ANN202
-        def near(pdf: pd.DataFrame) -> pd.DataFrame:
+    shards: DataFrame
+    dim: int | None
+
+    @staticmethod
+    def build(points: DataFrame, *, m: int = 32, ef_build: int = 40, shard_rows: int = 20_000) -> HNSWIndex:
+        dim = vector.dimension(points)
+        n = max(1, points.count() // shard_rows)
+
+        def link(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("id")
-            own = pdf["id"].to_numpy()
-            graph = Graph(np.stack(pdf["vec"].to_numpy()).astype(np.float64), m, ef_build)
-            out = [(qid, int(own[i]), float(np.sqrt(d))) for qid, q in zip(ids, vectors, strict=True) for d, i in graph.search(q, k, ef_search)]
-            return pd.DataFrame(out, columns=["qid", "id", "dist"])
+            rows = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+            graph = Graph(rows, m, ef_build)
+            held = pickle.dumps((graph.heights, graph.layers, graph.entry, m, ef_build))
+            return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "vectors": [rows.tobytes()], "graph": [held]})
+
+        rows = points.select(F.col("id").cast("long").alias("id"), "vec", F.pmod(F.xxhash64("id"), F.lit(n)).alias("shard"))
+        return HNSWIndex(cut(rows.groupBy("shard").applyInPandas(link, "shard long, ids binary, vectors binary, graph binary")), dim)
+
+    def search(self, queries: DataFrame, k: int, ef_search: int = 64) -> DataFrame:
+        """(qid, id, dist, rank): each shard's graph is searched, and the shards' best are merged."""
+        found, dim = None, self.dim
+        for qids, vectors in vector._blocks(queries, "id", "vec"):
+
+            def near(batches: Iterator[pa.RecordBatch], qids: np.ndarray = qids, vectors: np.ndarray = vectors) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for ids, rows, held in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                        own = np.frombuffer(ids, np.int64)
+                        graph = Graph.restored(np.frombuffer(rows, np.float64).reshape(len(own), dim), held)
+                        out = [(int(qid), int(own[i]), float(np.sqrt(d))) for qid, q in zip(qids, vectors, strict=True) for d, i in graph.search(q, k, ef_search)]
+                        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], names=["qid", "id", "dist"])
+
+            part = self.shards.select("ids", "vectors", "graph").mapInArrow(near, "qid long, id long, dist double")
+            found = part if found is None else found.unionByName(part)
+        return _found(self.shards.sparkSession, found, k)
+
+    def save(self, path: str) -> None:
+        self.shards.withColumn("dim", F.lit(self.dim)).write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> HNSWIndex:
+        shards = spark.read.parquet(path)
+        first = shards.select("dim").first()
+        return HNSWIndex(shards.drop("dim"), first["dim"] if first else None)
 
-        return near
 
-    for ids, vectors in vector._blocks(queries, "id", "vec"):
-        rows = points.select(F.col("id").cast("long").alias("id"), "vec", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"))
-        part = rows.groupBy("shard").applyInPandas(searching(ids, vectors), "qid long, id long, dist double")
-        found = part if found is None else found.unionByName(part)
-    return _top(found, k)
+@dataclass
+class LSHIndex:
+    """Rows by their buckets in tables of random projections; rows that share a bucket with a query are ranked exactly."""
 
+    points: DataFrame
+    buckets: DataFrame
+    planes: np.ndarray
+    offsets: np.ndarray
+    width: float
 
-def lsh_search(points: DataFrame, queries: DataFrame, k: int, *, tables: int = 24, width: float = 1.6, hashes: int = 4, seed: int = 3) -> DataFrame:
-    """(qid, id, dist, rank): rows that share a bucket of random projections with a query, ranked exactly."""
-    spark, found = points.sparkSession, None
-    for ids, vectors in vector._blocks(queries, "id", "vec"):
-        dim = vectors.shape[1]
+    @staticmethod
+    def build(points: DataFrame, *, tables: int = 24, width: float = 1.6, hashes: int = 4, seed: int = 3) -> LSHIndex:
+        dim = vector.dimension(points) or 1
         rng = np.random.default_rng(seed)
         planes, offsets = rng.normal(size=(tables, hashes, dim)), rng.uniform(0, width, (tables, hashes))
+        rows = points.select(F.col("id").cast("long").alias("id"), "vec")
 
-        def buckets(rows: np.ndarray, planes: np.ndarray = planes, offsets: np.ndarray = offsets) -> np.ndarray:
-            cells = np.floor((np.einsum("thd,nd->nth", planes, rows) + offsets) / width).astype(np.int64)
-            key = np.zeros(cells.shape[:2], np.int64)
-            for h in range(hashes):
-                key = key * 1_000_003 + cells[:, :, h]
-            return key * tables + np.arange(tables)
-
-        def keyed(batches: Iterator[pa.RecordBatch], buckets=buckets) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    keys = buckets(_rows(batch, 1))
+                    keys = _cells(_rows(batch, 1), planes, offsets, width)
                     at = np.repeat(np.arange(batch.num_rows), tables)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(keys.ravel())], names=["id", "bucket"])
 
-        probes = spark.createDataFrame([(int(i), int(b)) for i, own in zip(ids, buckets(vectors), strict=True) for b in own], "qid long, bucket long")
-        named = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(ids, vectors, strict=True)], "qid long, q array<double>")
-        rows = points.select(F.col("id").cast("long").alias("id"), "vec")
-        pairs = rows.mapInArrow(keyed, "id long, bucket long").join(F.broadcast(probes), "bucket").select("qid", "id").distinct()
-        part = pairs.join(rows, "id").join(F.broadcast(named), "qid").select("qid", "id", vector.column_distance(F.col("vec"), F.col("q")).alias("dist"))
-        found = part if found is None else found.unionByName(part)
-    return _top(found, k)
+        return LSHIndex(rows, rows.mapInArrow(keyed, "id long, bucket long"), planes, offsets, width)
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        """(qid, id, dist, rank)"""
+        spark, found = self.points.sparkSession, None
+        for ids, vectors in vector._blocks(queries, "id", "vec"):
+            keys = _cells(vectors, self.planes, self.offsets, self.width)
+            probes = spark.createDataFrame([(int(i), int(b)) for i, own in zip(ids, keys, strict=True) for b in own], "qid long, bucket long")
+            named = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(ids, vectors, strict=True)], "qid long, q array<double>")
+            pairs = self.buckets.join(F.broadcast(probes), "bucket").select("qid", "id").distinct()
+            part = pairs.join(self.points, "id").join(F.broadcast(named), "qid").select("qid", "id", vector.column_distance(F.col("vec"), F.col("q")).alias("dist"))
+            found = part if found is None else found.unionByName(part)
+        return _found(spark, found, k)
+
+    def save(self, path: str) -> None:
+        self.points.write.mode("overwrite").parquet(f"{path}/points")
+        self.buckets.write.mode("overwrite").parquet(f"{path}/buckets")
+        _save_arrays(self.points.sparkSession, f"{path}/planes", [self.planes, self.offsets, np.array(self.width)])
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> LSHIndex:
+        planes, offsets, width = _load_arrays(spark, f"{path}/planes")
+        return LSHIndex(spark.read.parquet(f"{path}/points"), spark.read.parquet(f"{path}/buckets"), planes, offsets, float(width))
+
+
+def _cells(rows: np.ndarray, planes: np.ndarray, offsets: np.ndarray, width: float) -> np.ndarray:
+    """The bucket of each row in each table."""
+    cells = np.floor((np.einsum("thd,nd->nth", planes, rows) + offsets) / width).astype(np.int64)
+    key = np.zeros(cells.shape[:2], np.int64)
+    for h in range(cells.shape[2]):
+        key = key * 1_000_003 + cells[:, :, h]
+    return key * len(planes) + np.arange(len(planes))
+
+
+def _found(spark: SparkSession, found: DataFrame | None, k: int) -> DataFrame:
+    return _top(found, k) if found is not None else spark.createDataFrame([], "qid long, id long, dist double, rank long")
+
+
+def _save_arrays(spark: SparkSession, path: str, arrays: list[np.ndarray]) -> None:
+    rows = [(i, str(a.dtype), list(a.shape), a.tobytes()) for i, a in enumerate(arrays)]
+    spark.createDataFrame(rows, "i int, kind string, shape array<int>, data binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def _load_arrays(spark: SparkSession, path: str) -> list[np.ndarray]:
+    rows = spark.read.parquet(path).orderBy("i").collect()
+    return [np.frombuffer(bytes(r["data"]), r["kind"]).reshape(r["shape"]) for r in rows]

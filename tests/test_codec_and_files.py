@@ -141,3 +141,21 @@ def test_streaming_ingest(spark, tmp_path):
     assert sorted(r[0] for r in index.search("hello").collect()) == [1, 2]
     assert sorted(r[0] for r in index.search("NOT world").collect()) == [2]
     ingest.compact(spark, path, str(tmp_path / "packed"))
+
+
+def test_file_writers_commit_once(spark, tmp_path):
+    class Row(dict):
+        pass
+
+    rows = [Row(term="a", posting=codec.encode([1, 2]), skips=[])]
+    writer = binary._Writer(str(tmp_path / "x"), True, 0, False)
+    messages = [writer.write(iter(rows)) for _ in range(2)]  # a task that ran twice
+    writer.commit(messages[:1])
+    assert len(binary._files(str(tmp_path / "x"))) == 1 and len(list((tmp_path / "x").iterdir())) == 1
+    again = binary._Writer(str(tmp_path / "x"), True, 0, True)
+    again.write(iter(rows))
+    again.abort([])
+    assert len(list((tmp_path / "x").iterdir())) == 1
+    again.commit([again.write(iter(rows))])
+    assert len(list((tmp_path / "x").iterdir())) == 1
+    assert sorted(map(tuple, binary.import_index(spark, str(tmp_path / "x")).collect())) == [(1, "a"), (2, "a")]

@@ -94,8 +94,8 @@ def test_batches_equal_brute_force(spark):
     [
         lambda p, q: ann.IVFIndex.build(p, 16).search(q, 5, nprobe=8),
         lambda p, q: ann.PQIndex.build(p, m=4, bits=5).search(q, 5, rerank=20),
-        lambda p, q: ann.hnsw_search(p, q, 5, m=8, shard_rows=200),
-        lambda p, q: ann.lsh_search(p, q, 5, tables=24, width=2.0, hashes=2),
+        lambda p, q: ann.HNSWIndex.build(p, m=8, shard_rows=200).search(q, 5),
+        lambda p, q: ann.LSHIndex.build(p, tables=24, width=2.0, hashes=2).search(q, 5),
     ],
     ids=["ivf", "pq", "hnsw", "lsh"],
 )
@@ -149,3 +149,42 @@ def test_hash_limits(spark):
     assert empty.directory().count() == 8
     with pytest.raises(ValueError):
         hashindex.HashTable.create(spark.createDataFrame([("x" * 100,)], "id string"), max_bytes=64).directory()
+
+
+@pytest.mark.parametrize(
+    "build",
+    [lambda p: ann.IVFIndex.build(p, 8), lambda p: ann.PQIndex.build(p, m=4, bits=4), lambda p: ann.HNSWIndex.build(p, m=8, shard_rows=100), lambda p: ann.LSHIndex.build(p, width=2.0)],
+    ids=["ivf", "pq", "hnsw", "lsh"],
+)
+def test_saved_indexes_find_the_same(spark, tmp_path, build):
+    _, df = _random(spark, 300, 8, 6)
+    index = build(df)
+    index.save(str(tmp_path))
+    queries = df.where("id < 4")
+    found = [sorted((r.qid, r.rank, round(r.dist, 9)) for r in i.search(queries, 3).collect()) for i in (index, type(index).load(spark, str(tmp_path)))]
+    assert found[0] == found[1] and found[0] and index.search(queries.limit(0), 3).collect() == []
+
+
+def test_hash_table_by_hash_and_order(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", 1), (1, "b", 3), (1, "c", 2), (2, "d", 0)], "k int, v string, at int")
+    t = hashindex.HashTable.create(rows, keys=["k"], order_by="at")
+    assert sorted((r.k, r.v) for r in t.rows.collect()) == [(1, "b"), (2, "d")]
+    h = t.hashed().where("k = 2").first().h
+    assert [r.v for r in t.lookup_hash(h).collect()] == ["d"] and t.lookup_hash(-1).collect() == []
+    assert {r.v for r in t.bucket_scan_of(k=2).collect()} == {r.v for r in t.bucket_scan(h).collect()} >= {"d"}
+    t.save(str(tmp_path / "t"))
+    again = hashindex.HashTable.load(spark, str(tmp_path / "t"), keys=["k"])
+    assert sorted((r.k, r.v) for r in again.rows.collect()) == [(1, "b"), (2, "d")]
+
+
+def test_batches_keep_the_best_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(vector, "ROWS_AT_ONCE", 7)
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 3)
+    rows, df = _random(spark, 90, 3, 2)
+    near = vector._near(df.coalesce(1), (np.array([0]), rows[:1].astype(np.float64)), "id", "vec", 4, None)
+    assert near.count() == 4
+    got = {(r.qid, r.rank): r.id for r in vector.knn_batch(df, df.where("id < 8"), 2).collect()}
+    assert len(got) == 16
+    for q in range(8):
+        d = np.sqrt(((rows.astype(float) - rows[q].astype(float)) ** 2).sum(axis=1))
+        assert [got[q, 1], got[q, 2]] == np.lexsort((np.arange(len(d)), d))[:2].tolist()
