@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import LOWER, UPPER
 from tessera.operators import ann, boolean, codec, hashindex, postings, spatial, vector
 from tessera.session import fresh_path, table
-from tessera.sources import binary, generators
+from tessera.sources import binary, csv_text, generators
 from tessera.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,10 +45,7 @@ def _flat(s: SparkSession, d: str) -> DataFrame:
 
 
 def _queries(points: DataFrame) -> DataFrame:
-    return points.where("id < 10")
-
-
-def _hundredths(points: DataFrame) -> DataFrame:
+    """The stated set of a search's queries: every id that 100 divides."""
     return points.where("id % 100 = 0")
 
 
@@ -122,7 +119,7 @@ def vec_distance(s: SparkSession, d: str) -> DataFrame:
 def _ann(search: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
         points = _points(s, d)
-        return _rounded(search(points, _hundredths(points)))
+        return _rounded(search(points, _queries(points)))
 
     return run
 
@@ -139,6 +136,10 @@ def hash_upsert_rows(s: SparkSession, d: str) -> DataFrame:
     return hashindex.HashTable.create(rows).upsert(rows.where("c_custkey % 3 = 0")).rows
 
 
+def _hash_of(s: SparkSession, key: str) -> int:
+    return s.range(1).select(hashindex.key_hash(F.lit(key))).first()[0]
+
+
 def _customers(s: SparkSession, d: str) -> hashindex.HashTable:
     rows = table(s, d, "customer").select("c_custkey", "c_nationkey")
     return hashindex.HashTable.create(rows, keys=["c_custkey"], max_bytes=HASH_CAPACITY)
@@ -206,6 +207,58 @@ def pfor_ratio(s: SparkSession, d: str) -> DataFrame:
     return total.select((F.col("n") * 4).alias("raw_bytes"), "bytes", F.round(F.col("n") * 4 / F.col("bytes"), 6).alias("ratio"))
 
 
+ANN: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    "ann_ivf": lambda p, q: ann.IVFIndex.build(p, 32).search(q, 5, nprobe=24),
+    "ann_pq": lambda p, q: ann.PQIndex.build(p).search(q, 5),
+    "ann_hnsw": lambda p, q: ann.HNSWIndex.build(p).search(q, 5),
+    "ann_lsh": lambda p, q: ann.LSHIndex.build(p, width=2.4).search(q, 5),
+}
+
+
+def _recall(name: str) -> Query:
+    """(queries, found, recall_reached): neighbours found of five for each query, at least 0.9 of the exact ones or not."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        points = _points(s, d)
+        wanted = _queries(points)
+        exact = vector.knn_batch(points, wanted, 5).select("qid", "id")
+        near = ANN[name](points, wanted).select("qid", "id", F.lit(True).alias("hit"))
+        joined = exact.join(near, ["qid", "id"], "left")
+        return joined.agg(F.countDistinct("qid").alias("queries"), F.count("*").alias("exact"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached"))
+
+    return run
+
+
+def kdtree_insert(s: SparkSession, d: str) -> DataFrame:
+    points = _flat(s, d)
+    tree = _tree(32, points.where("id % 2 = 0")).insert(points.where("id % 2 = 1"))
+    return _rounded(tree.knn_batch(_queries(points), 5))
+
+
+def ann_save_load(s: SparkSession, d: str) -> DataFrame:
+    """A saved and loaded inverted file, searched in all its lists: the exact neighbours."""
+    points, path = _points(s, d), fresh_path(s, "ivf")
+    ann.IVFIndex.build(points, 16).save(path)
+    return _rounded(ann.IVFIndex.load(s, path).search(_queries(points), 5, nprobe=16))
+
+
+def hash_save_load(s: SparkSession, d: str) -> DataFrame:
+    path = fresh_path(s, "table")
+    _customers(s, d).save(path)
+    held = hashindex.HashTable.load(s, path, keys=["c_custkey"], max_bytes=HASH_CAPACITY)
+    return held.rows.select("c_custkey", "c_nationkey")
+
+
+def csv_questions(s: SparkSession, d: str) -> DataFrame:
+    """Documents as a labelled CSV file, read again: ids from 1 in the file's order."""
+    path = fresh_path(s, "questions")
+    plain = F.translate(F.coalesce("text", F.lit("")), "\\\n\r", "   ")
+    quoted = F.concat(F.lit('"'), F.replace(plain, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    rows = table(s, d, "documents").coalesce(1).sortWithinPartitions("doc_id").select(F.concat(F.lit("0,1,"), quoted).alias("value"))
+    s.range(1).select(F.lit("label-coarse,label-fine,text").alias("value")).unionByName(rows).coalesce(1).write.text(path)
+    return csv_text.read_questions(s, path)
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {
         "text_normalize": lambda s, d: postings.documents_normalized(_docs(s, d)),
@@ -240,18 +293,22 @@ def queries() -> dict[str, Query]:
         "kdtree_knn": _tree_batch(_points, 128),
         "kdtree_range": _tree_range(_points, 128, 1.2),
         "kdtree_leaves": kdtree_leaves,
-        "ann_ivf": _ann(lambda p, q: ann.IVFIndex.build(p, 32).search(q, 5, nprobe=24)),
-        "ann_pq": _ann(lambda p, q: ann.PQIndex.build(p).search(q, 5)),
-        "ann_hnsw": _ann(lambda p, q: ann.hnsw_search(p, q, 5)),
-        "ann_lsh": _ann(lambda p, q: ann.lsh_search(p, q, 5, width=2.4)),
+        "kdtree_insert": kdtree_insert,
+        "ann_save_load": ann_save_load,
+        "csv_questions": csv_questions,
         "hash_upsert": hash_upsert,
         "hash_upsert_rows": hash_upsert_rows,
         "hash_lookup": hash_lookup,
         "hash_contains": hash_contains,
         "hash_bucket_scan": hash_bucket_scan,
         "hash_directory": hash_directory,
+        "hash_lookup_by_hash": lambda s, d: _customers(s, d).lookup_hash(_hash_of(s, "42")),
+        "hash_bucket_scan_of": lambda s, d: _customers(s, d).bucket_scan_of(c_custkey=42),
+        "hash_save_load": hash_save_load,
         "hash_stats": lambda s, d: _customers(s, d).stats(),
     }
+    for name, search in ANN.items():
+        out[name], out[f"{name}_recall"] = _ann(search), _recall(name)
     for name, (query, _) in BOOLEAN.items():
         out[name] = _search(query)
         out[name.replace("bool_", "bool_setform_")] = _sets(query)
@@ -265,7 +322,7 @@ BLOCKS = f"{GAPS}, b AS (SELECT term, rank // 128 AS block, count(*) AS n, min(d
 _POINTS = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings)"
 _FLAT = "v AS (SELECT vec_id AS id, embedding[1:2]::DOUBLE[] AS vec FROM embeddings)"
 _ONE = "a AS (SELECT v.id, list_distance(v.vec, q.vec) AS d FROM v, (SELECT vec FROM v WHERE id = 3) q)"
-_MANY = "a AS (SELECT q.id AS qid, v.id, list_distance(v.vec, q.vec) AS d FROM v, (SELECT * FROM v WHERE id < 10) q), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM a)"
+_MANY = "a AS (SELECT q.id AS qid, v.id, list_distance(v.vec, q.vec) AS d FROM v, (SELECT * FROM v WHERE id % 100 = 0) q), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM a)"
 _BATCH = "SELECT qid, id, round(d, 6) AS dist, rank FROM r WHERE rank <= 5"
 _ENTRIES = "e AS (SELECT c_custkey, c_nationkey, ('0x' || right(md5(c_custkey::VARCHAR), 7))::BIGINT AS h, length(c_custkey::VARCHAR) + 4 AS bytes FROM customer)"
 _DIRECTORY = f"""{_ENTRIES},
@@ -275,6 +332,19 @@ candidates AS (SELECT depth + 1 AS depth, suffix FROM over UNION ALL SELECT dept
 leaves AS (SELECT c.depth, c.suffix, coalesce(n.bytes, 0)::BIGINT AS bytes, coalesce(n.n, 0)::BIGINT AS n FROM candidates c LEFT JOIN nodes n USING (depth, suffix) WHERE NOT EXISTS (FROM over o WHERE o.depth = c.depth AND o.suffix = c.suffix))"""
 
 
+# Levels of median splits, by turns on the two coordinates; what is larger than the median goes right.
+_LEAVES = f"""WITH RECURSIVE {_FLAT},
+l AS (SELECT greatest(0, ceil(log2(count(*) / 64)))::BIGINT AS levels FROM v),
+t AS (
+  SELECT 0::BIGINT AS level, 1::BIGINT AS leaf, vec FROM v
+  UNION ALL
+  SELECT level + 1, 2 * leaf + (x > middle)::BIGINT, vec FROM (
+    SELECT level, leaf, vec, x, quantile_disc(x, 0.5) OVER (PARTITION BY leaf) AS middle FROM (SELECT *, vec[1 + level % 2] AS x FROM t, l WHERE level < levels)
+  )
+)
+SELECT leaf, count(*) AS n FROM t, l WHERE level = levels GROUP BY leaf"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "text_normalize": f"WITH {N} SELECT * FROM n",
@@ -314,8 +384,17 @@ def oracle_sql() -> dict[str, str]:
         "hash_contains": "SELECT DISTINCT o_custkey AS c_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)",
         "hash_bucket_scan": f"WITH {_DIRECTORY} SELECT c_custkey, c_nationkey FROM e, leaves WHERE leaves.suffix = 12345 & ((1::BIGINT << depth) - 1) AND e.h & ((1::BIGINT << depth) - 1) = leaves.suffix",
         "hash_directory": f"WITH {_DIRECTORY} SELECT depth::BIGINT AS depth, suffix, bytes, n FROM leaves",
+        "kdtree_insert": f"WITH {_FLAT}, {_MANY} {_BATCH}",
+        "kdtree_leaves": _LEAVES,
+        "ann_save_load": f"WITH {_POINTS}, {_MANY} {_BATCH}",
+        "csv_questions": "SELECT row_number() OVER (ORDER BY doc_id) AS doc_id, trim(regexp_replace(translate(text, chr(92) || chr(10) || chr(13), '   '), '([ \t\x0B\f])[ \t\x0B\f]+', '\\1', 'g'), chr(32) || chr(9) || chr(11) || chr(12)) AS text FROM documents WHERE text IS NOT NULL",
+        "hash_lookup_by_hash": f"WITH {_ENTRIES} SELECT c_custkey, c_nationkey FROM e WHERE h = (SELECT h FROM e WHERE c_custkey = 42)",
+        "hash_bucket_scan_of": f"WITH {_DIRECTORY}, o AS (SELECT h AS wanted FROM e WHERE c_custkey = 42) SELECT c_custkey, c_nationkey FROM e, leaves, o WHERE leaves.suffix = wanted & ((1::BIGINT << depth) - 1) AND e.h & ((1::BIGINT << depth) - 1) = leaves.suffix",
+        "hash_save_load": "SELECT c_custkey, c_nationkey FROM customer",
         "hash_stats": f"WITH {_DIRECTORY} SELECT max(depth)::BIGINT AS global_depth, 1::BIGINT << max(depth) AS directory_slots, count(*) AS leaf_buckets, sum(n)::BIGINT AS entries FROM leaves",
     }
+    for name in ANN:
+        out[f"{name}_recall"] = "SELECT count(*) AS queries, 5 * count(*) AS exact, true AS recall_reached FROM embeddings WHERE vec_id % 100 = 0"
     for name, (_, sql) in BOOLEAN.items():
         out[name] = out[name.replace("bool_", "bool_setform_")] = f"WITH {P} {sql}"
     return out
