@@ -7,13 +7,18 @@ share at every slot. The schedule repeats after Q slots, so one period of it, a
 slot of any block in closed form. Where a source has no block left, a new phase starts with the others;
 within each phase the bound holds. No document is dropped or repeated.
 
-Sources, weights and periods are planned from one count for each source; the documents are numbered and
-placed by DataFrame operations. A source is numbered in hash buckets of bounded size, whose first numbers
-come from their counts, so a source with a third of all rows is no single task.
+Sources, weights and periods are planned on the driver from one count for each source: a phase for each source
+that ends, with a period of each that is live. That state grows with the square of the number of sources (200
+of different sizes give 12,461 rows; it is meant for hundreds). Beyond ``BROADCAST_BYTES`` it is joined by a
+salted shuffle. The documents are numbered and placed by DataFrame operations. A source is numbered in hash
+buckets of bounded size, whose first numbers come from their counts, summed in two levels, so a source with a
+third of all rows is no single task.
 
 Defined cases: a null source is a source of its own; sources without a weight get weight 1; rows of one id
-are ordered by their hash, and keep a place each; an empty table gives an empty result. The input's other
-columns pass through; one that is named like an output column is replaced by it.
+are ordered by a hash of all their columns (rows that are equal in all of them are the same row wherever they
+go), so a task that runs again gives the same places, and keep a place each; texts and other columns of any
+length pass through; an empty table gives an empty result. A column that is named like an output column is
+replaced by it.
 """
 
 from __future__ import annotations
@@ -24,10 +29,14 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 #: Documents to a block, and at most about so many to a numbering bucket.
 BLOCK = 32
-BUCKET_ROWS = 2_000
+BUCKET_ROWS = 500
+#: A plan of up to so many bytes is broadcast.
+BROADCAST_BYTES = 32_000_000
+SALTS = 32
 #: The largest weight that the default rule gives.
 TOP_WEIGHT = 100
 
@@ -81,6 +90,10 @@ def plan(blocks: list[int], weights: list[int]) -> list[dict]:
     return out
 
 
+def _hashable(kind: DataType) -> bool:
+    return not isinstance(kind, MapType | VariantType) and all(map(_hashable, [f.dataType for f in kind.fields] if isinstance(kind, StructType) else [kind.elementType] if isinstance(kind, ArrayType) else []))
+
+
 def mix_sources(docs: DataFrame, *, weights: Mapping[str | None, int] | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, seed: str = "mix") -> DataFrame:
     """The input with block (of its source), phase, slot and position; positions give the mixed order."""
     counts = {r[0]: r[1] for r in docs.groupBy(source_col).count().collect()}
@@ -105,17 +118,27 @@ def mix_sources(docs: DataFrame, *, weights: Mapping[str | None, int] | None = N
     digits = max(0, math.ceil(math.log(max(1, max(counts.values()) / BUCKET_ROWS), 16)))
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     rows = rows.withColumn("__key", key).withColumn("__bucket", F.substring("__key", 1, digits) if digits else F.lit(""))
-    sizes = rows.groupBy("__source", "__bucket").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.sum("__n").over(Window.partitionBy("__source").orderBy("__bucket")) - F.col("__n"))
-    before = before.select(F.col("__source").alias("__s"), F.col("__bucket").alias("__b"), "__before")
-    within = F.row_number().over(Window.partitionBy("__source", "__bucket").orderBy("__key", id_col))
+    head = F.substring("__bucket", 1, digits // 2) if digits > 1 else F.lit("")
+    sizes = rows.groupBy("__source", "__bucket").agg(F.count("*").alias("__n")).withColumn("__head", head)
+    heads = sizes.groupBy("__source", "__head").agg(F.sum("__n").alias("__size"))
+    heads = heads.withColumn("__earlier", F.sum("__size").over(Window.partitionBy("__source").orderBy("__head")) - F.col("__size"))
+    inside = F.sum("__n").over(Window.partitionBy("__source", "__head").orderBy("__bucket")) - F.col("__n")
+    before = sizes.withColumn("__inside", inside).join(heads, ["__source", "__head"])
+    before = before.select(F.col("__source").alias("__s"), F.col("__bucket").alias("__b"), (F.col("__earlier") + F.col("__inside")).alias("__before"))
+    hashed = [c for c in names if _hashable(docs.schema[c].dataType)]
+    within = F.row_number().over(Window.partitionBy("__source", "__bucket").orderBy("__key", id_col, F.xxhash64(*hashed)))
     rows = rows.withColumn("__row", within).join(before, (F.col("__source") == F.col("__s")) & (F.col("__bucket") == F.col("__b")))
     index = F.col("__before") + F.col("__row") - 1
     rows = rows.withColumn("__index", index).withColumn("__block", F.floor(F.col("__index") / block).cast("long"))
 
     placed = [F.struct(*[F.lit(r[c]).cast(t).alias(f"__{c}") for c, t in (("phase", "int"), ("first", "long"), ("last", "long"), ("start", "long"), ("total", "long"))], F.lit(r["source"]).alias("__of"), F.array(*[F.lit(x) for x in r["slots"]]).alias("__slots")) for r in planned]
     table = spark.range(1).select(F.inline(F.array(*placed))) if len(placed) <= 512 else spark.createDataFrame([(r["phase"], r["first"], r["last"], r["start"], r["total"], r["source"], r["slots"]) for r in planned], "__phase int, __first long, __last long, __start long, __total long, __of int, __slots array<int>")
-    rows = rows.join(F.broadcast(table), (F.col("__source") == F.col("__of")) & F.col("__block").between(F.col("__first"), F.col("__last")))
+    placed_in = (F.col("__source") == F.col("__of")) & F.col("__block").between(F.col("__first"), F.col("__last"))
+    if sum(60 + 4 * len(r["slots"]) for r in planned) <= BROADCAST_BYTES:
+        rows = rows.join(F.broadcast(table), placed_in)
+    else:
+        table = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("__own", F.pmod(F.xxhash64("__key"), F.lit(SALTS)).cast("int")).join(table.hint("shuffle_hash"), placed_in & (F.col("__own") == F.col("__salt")))
     k, per = F.col("__block") - F.col("__first"), F.size("__slots")
     slot = F.col("__start") + F.floor(k / per).cast("long") * F.col("__total") + F.get("__slots", (k % per).cast("int"))
     return rows.select(*names, F.col("__block").alias("block"), F.col("__phase").cast("long").alias("phase"), slot.alias("slot"), (slot * block + F.col("__index") % block).alias("position"))
