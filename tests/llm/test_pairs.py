@@ -221,6 +221,38 @@ def test_image_copies(spark):
     assert image_match.image_classes(spark.createDataFrame([], "media_id long, image binary")).collect() == []
 
 
+def test_images_of_null_and_repeated_ids(spark):
+    a, b, c = (image_match.write_image(image_match.scene(np.arange(64) + k)) for k in range(3))
+    crop = image_match.write_image(image_match.edited(image_match.scene(np.arange(64) + 1)))
+    rows = [(1, a), (1, b), (2, crop), (None, c), (None, a), (None, None), (4, c), (5, None)]
+    got = image_match.image_classes(spark.createDataFrame(rows, "media_id long, image binary").withColumn("digest", F.lit("clash"))).collect()
+    assert sorted((r.media_id or -1, r.class_id or -1) for r in got) == [(-1, -1), (-1, 1), (-1, 4), (1, 1), (1, 1), (2, 1), (4, 4), (5, 5)]
+
+
+@pytest.mark.parametrize("edit", ["crop 0.9", "crop 0.7", "crop 0.5", "turn", "half", "paler"])
+def test_recall_of_edited_copies(spark, edit):
+    rng = np.random.default_rng(5)
+    pictures = [image_match.scene(rng.normal(size=64), 160) for _ in range(40)]
+
+    def changed(p):
+        kind, _, much = edit.partition(" ")
+        if kind == "crop":
+            n = int(160 * float(much) ** 0.5)
+            return p[:n, 160 - n :]
+        return {"turn": np.rot90(p), "half": image_match.resized(p, 0.71), "paler": p * 0.6 + 60}[kind]
+
+    rows = [(i, image_match.write_image(p)) for i, p in enumerate(pictures)] + [(100 + i, image_match.write_image(changed(p))) for i, p in enumerate(pictures)]
+    got = {r.media_id: r.class_id for r in image_match.image_classes(spark.createDataFrame(rows, "media_id long, image binary")).collect()}
+    # Brute force: all pairs of corners of the two pictures, by the descriptors alone.
+    able = 0
+    for p, q in zip(pictures, [changed(p) for p in pictures], strict=True):
+        (a, x), (b, y) = image_match.describe(p), image_match.describe(image_match.read_image(image_match.write_image(q)))
+        i, j = np.nonzero(np.bitwise_count(x[:, None].view(np.uint64) ^ y[None].view(np.uint64)).sum(axis=2) <= image_match.NEAR)
+        able += image_match.consensus(a[i], b[j]) >= image_match.MATCHES
+    found = sum(got[100 + i] == i for i in range(40))
+    assert all(got[i] == i for i in range(40)) and found >= (0.7 if edit == "crop 0.5" else 0.9) * able and able >= 30, (found, able)
+
+
 def test_group_of_image_copies_makes_few_links(spark):
     picture = image_match.scene(np.arange(64))
     rows = [(i, image_match.write_image(picture * (1 - i / 400) + i / 10)) for i in range(60)]
