@@ -54,6 +54,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(docs, pieces.PieceModel.load(PIECE_MODEL))
 
 
+def sentencepiece_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word, ids): operator 8's lattices in relations alone, over the distinct units of all documents."""
+    return pieces.encode_words(pieces.distinct_units(table(spark, sf_dir, "documents")), pieces.PieceModel.load(PIECE_MODEL))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs, langid.fixed_pieces(PIECE_MODEL))
@@ -143,6 +148,7 @@ def queries() -> dict[str, Query]:
         "op6_quality_rules": op6_quality_rules,
         "op7_mix_sources": op7_mix_sources,
         "op8_sentencepiece": op8_sentencepiece,
+        "sentencepiece_words": sentencepiece_words,
         "op9_language_id": op9_language_id,
         "op10_url_filter": op10_url_filter,
     }

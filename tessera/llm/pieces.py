@@ -289,6 +289,13 @@ def encode_documents(docs: DataFrame, model: PieceModel, *, text_col: str = "tex
     return picked.mapInArrow(run, fields + "n_tokens long, token_ids array<int>, round_trip boolean")
 
 
+def distinct_units(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """(word) with the units of all texts, as of ``units_of``; repeats go inside rows and tasks before the shuffle."""
+    marked = F.concat(F.lit(MARK), F.replace(F.col(text_col), F.lit(" "), F.lit(MARK)))
+    units = F.when(F.length(text_col) > 0, F.array_distinct(F.regexp_extract_all(marked, F.lit(_UNIT.pattern), F.lit(0))))
+    return docs.select(F.explode(units).alias("word")).distinct()
+
+
 def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
     """(piece, id, score): as many rows as the model has pieces."""
     return spark.createDataFrame([(p, i, float(model.scores[p])) for p, i in model.ids.items()], "piece string, id int, score double")

@@ -2,9 +2,12 @@
 
 import dataclasses
 import json
+import os
 import pathlib
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 from html.parser import HTMLParser
 from zlib import crc32
@@ -528,3 +531,34 @@ def test_viterbi_is_best_of_all_paths(model):
     score = lambda p: sum(model.scores.get(x, pieces.UNKNOWN) for x in p)
     for word in ("▁hello", "▁there", "▁🙂a", "▁onion"):
         assert score(pieces.fold_viterbi(word, model.scores, model.widest)) == max(map(score, paths(word)))
+
+
+def test_words_of_documents(spark, model, library, tmp_path):
+    texts = ["hello  world\n", "", None, "é漢🙂 the cat", "a▁b\n\nhello", "  lead"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.word: list(r.ids) for r in catalogue.sentencepiece_words(spark, str(tmp_path)).collect()}
+    assert set(got) == {u for t in texts for u in pieces.units_of(t or "")}
+    assert [[i for u in pieces.units_of(t) for i in got[u]] for t in texts if t] == [library.encode(t) for t in texts if t]
+
+
+def test_workers_need_no_repository(tmp_path):
+    """Operators 8 and 9 travel by value: only the driver's process has the repository on its path."""
+    root = str(pathlib.Path(__file__).resolve().parents[2])
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+import os
+os.environ.pop("PYTHONPATH", None)
+os.chdir({str(tmp_path)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+rows = [(i, "hello there " + "ab" * i, "en" if i % 2 else "fr", "s", 5) for i in range(20)]
+spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet("documents.parquet")
+import __spark_entry__ as entry
+for name in ("op8_sentencepiece", "op9_language_id"):
+    assert entry.queries()[name](spark, {str(tmp_path)!r}).count() == 20
+print("whole")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, env=env, cwd=tmp_path, timeout=300)
+    assert "whole" in done.stdout, done.stderr[-2000:]
