@@ -8,8 +8,10 @@ one aggregation of (statistic, bin, label) counts. The list becomes one ``CASE W
 
 Defined cases: a null text has no words; a text without words fails the base rules; an empty labels
 table, or labels of one kind, give an empty list (the base rules alone decide); labels may be null (not
-used); repeated ids each keep their row. The input's other columns pass through; one that is named like
-an output column is replaced by it.
+used); an id with labels of both kinds counts as bad, once; of conditions of one gain the first in the order
+of statistics and thresholds is taken; texts of any length are counted whole; repeated ids each keep their
+row; an empty table gives an empty result. The input's other columns pass through; one that is named like an
+output column is replaced by it.
 """
 
 from __future__ import annotations
@@ -189,9 +191,10 @@ def learn(
     chosen = (
         labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
         .select(F.col(id_col).alias("__id"), F.when(F.col(label_col) == 0, 1).otherwise(0).alias("__bad"))
-        .orderBy(F.xxhash64("__id"), "__id", "__bad")
+        .groupBy("__id")
+        .agg(F.max("__bad").alias("__bad"))
+        .orderBy(F.xxhash64("__id"), "__id")
         .limit(train_rows)
-        .dropDuplicates(["__id"])
     )
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
     rows = statistics(rows, "__text").drop("__text", "__doc").withColumn("__part", F.pmod(F.xxhash64("__id", F.lit("part")), F.lit(3)))

@@ -7,8 +7,10 @@ digest confirms them, and the longest confirmed rule decides. All of it is DataF
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and matches nothing; an
 empty rule table leaves every verdict to the second list or the default; repeated urls each keep their
-row; of two fitting rules of one length the longer host wins, then block. The input's other columns
-pass through; one that is named like an output column is replaced by it.
+row; of two fitting rules of one length the longer host wins, then block. Urls of any length are read
+whole: an expansion is as large as the rules' labels and path lengths, not as the url. Urls without ``://``
+are dealt by the row's other columns, so that a mass of them is no hot key. The input's other columns
+pass through; one that is named like an output column is replaced by it. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,12 +19,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 Rule = tuple[str, str, str]
 
 PREFIX_HEX = 8
-#: Rule lists of up to this many rows are broadcast (some 200 bytes a row); longer ones are shuffled.
-BROADCAST_ROWS = 100_000
+#: Rule lists of up to so many bytes are broadcast; larger ones are shuffled.
+BROADCAST_BYTES = 20_000_000
 #: The rules of the contract (host, path, verdict).
 CONTRACT_RULES: list[Rule] = [
     ("com", "/en/", "block"),
@@ -98,6 +101,7 @@ def filter_urls(
     # The numbers of labels and the path lengths that rules have bound the expansion of each url.
     shape = held.select(
         F.count("*").alias("n"),
+        F.sum(200 + 2 * F.octet_length("__whole")).alias("bytes"),
         F.collect_set(F.length("__rule_path")).alias("lengths"),
         F.max(F.size(F.split("__rule_host", "\\."))).alias("labels"),
     ).first()
@@ -106,7 +110,7 @@ def filter_urls(
     kept = [c for c in pages.columns if c not in outputs]
     if not shape["n"]:
         return pages.select(*kept, host.alias("host"), path.alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    held = F.broadcast(held) if shape["n"] <= BROADCAST_ROWS else held
+    held = F.broadcast(held) if shape["bytes"] <= BROADCAST_BYTES else held
 
     distinct = pages.select(F.col(url_col).alias("__url")).where(F.col("__url").contains("://")).distinct()
     labels = F.split(url_host(F.col("__url")), "\\.")
@@ -131,7 +135,10 @@ def filter_urls(
         .select(F.col("__url").alias("__matched_url"), "__best")
     )
     rule = F.when(F.col("__best.__rank") == 1, F.col("__best.__whole"))
-    return pages.join(matched, F.col(url_col) == F.col("__matched_url"), "left").select(
+    plain = [f.name for f in pages.schema if isinstance(f.dataType, AtomicType) and f.name != url_col]
+    spread = F.concat(F.lit("-"), F.pmod(F.xxhash64(*plain), F.lit(4096)).cast("string")) if plain else F.lit("-")
+    key = F.when(F.col(url_col).contains("://"), F.col(url_col)).otherwise(spread)  # no matched url is without it
+    return pages.withColumn("__key", key).join(matched, F.col("__key") == F.col("__matched_url"), "left").select(
         *kept,
         host.alias("host"),
         path.alias("path"),

@@ -193,7 +193,11 @@ def test_fuzzy_finds_all_within_bound(which, edits):
     for at, c in edits[: notice.edits]:
         text[at % len(text)] = c
     scanner = license_scan.Scanner({}, [notice])
-    assert scanner.fuzzy("before words " + "".join(text) + " after")
+    found = scanner.fuzzy("before words " + "".join(text) + " after")
+    changed = sum(x != y for x, y in zip(text, notice.text, strict=True))
+    begin, end = len("before words "), len("before words ") + len(text)
+    near = [f for f in found if f[0] == notice.label and abs(f[1] - begin) <= notice.edits and abs(f[2] - end) <= notice.edits]
+    assert near and all(f[3] <= notice.edits for f in found) and min(f[3] for f in near) <= max(changed, notice.edits)
 
 
 def brute_quality(text):
@@ -236,6 +240,9 @@ def test_quality_learns(spark):
     assert sum(got[i] == bool(q) for i, _, q in fresh) >= 0.98 * len(fresh)
     assert decision_list.learn(docs, labels.limit(0)) == [] and decision_list.learn(docs.limit(0), labels) == []
     assert decision_list.learn(docs, labels.where("quality = 1")) == []
+    both = labels.unionByName(labels.where("quality = 1 AND doc_id % 2 = 1").withColumn("quality", F.lit(0)))
+    once = decision_list.learn(docs, both.where("doc_id % 2 = 0 OR quality = 0"))
+    assert decision_list.learn(docs, both.repartition(5)) == once
 
 
 def test_quality_plan_is_native(spark):
@@ -404,6 +411,9 @@ def test_urls(spark):
     got = url_filter.filter_urls(df, rules, second=second)
     assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got.collect()) == sorted((i, *brute_url(u)) for i, u in [*enumerate(URLS), (0, URLS[0])])
     assert url_filter.filter_urls(df.limit(0), rules).collect() == []
+    many = df.limit(0).union(spark.createDataFrame([(i, None if i % 2 else "x" * i, "h") for i in range(300)] + [(999, "http://a.com/en/" + "y" * 100_000, "h")], "page_id long, url string, host string"))
+    far = url_filter.filter_urls(many, rules).collect()
+    assert sorted((r.page_id, r.verdict) for r in far) == [(i, "allow") for i in range(300)] + [(999, "block")]
     assert {r.verdict for r in url_filter.filter_urls(df, url_filter.rules_frame(spark, []), default="block").collect()} == {"block"}
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
 
