@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return
 the columns of documents. Ids are expected to be unique: where rows share one, a near duplicate among them
-takes all of them along.
+takes all of them along. Null texts fail the base rules; texts of any length are worked on whole.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by fingerprints of their five-word shingles the one of the smallest id stays."""
+    """Of documents whose sets of five-word shingles are linked at a similarity of 0.8 or more the smallest id stays."""
     found = simhash.near_duplicates(docs)
     gone = found.where("component_id IS NOT NULL AND component_id <> id").select(F.col("id").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -52,7 +52,7 @@ STAGES = [
     ("SentencePiece encoding", encode),
 ]
 
-#: Learned rules, fingerprints and merges aren't SQL; tests compare with brute force.
+#: Learned rules, fingerprints and piece lattices aren't SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
