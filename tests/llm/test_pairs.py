@@ -202,8 +202,25 @@ def test_components(spark):
 def test_corners_of_stronger_edits_match():
     bits = np.zeros((2, 128), np.uint8)
     bits[1, 30:52] = 1  # 22 bits differ, none of them in the first band
-    left, right = image_match._matches(np.zeros(2, np.uint32), np.array([5, 6]), np.packbits(bits, axis=1))
-    assert [*map(list, left)][0] == [0] and [*map(list, right)][0] == [1]
+    left, right = image_match._matches(np.zeros(2, np.uint32), np.array([5, 6]), np.packbits(bits, axis=1), np.full((2, image_match.NEIGHBOURS), image_match.NONE, np.uint16))
+    assert (left.tolist(), right.tolist()) == ([0], [1])
+
+
+def test_copies_meet_in_a_crowd_of_one_corner():
+    rng = np.random.default_rng(5)
+    n = 4000  # images that share a corner; the last 40 are copies of the 40 before, with four of six places left
+    places = rng.integers(0, image_match.NONE, (n, image_match.NEIGHBOURS)).astype(np.uint16)
+    places[-40:, :4] = places[-80:-40, :4]
+    places[100:400] = places[100]  # a large group of copies
+    places[0] = image_match.NONE
+    bits = np.zeros((n, 16), np.uint8)
+    left, right = image_match._matches(np.zeros(n, np.uint32), np.arange(n), bits, np.sort(places, axis=1))
+    pairs = set(zip(left.tolist(), right.tolist(), strict=True))
+    assert len(pairs) == len(left) < 3 * n
+    assert {(n - 80 + i, n - 40 + i) for i in range(40)} <= pairs
+    assert {(100, i) for i in range(101, 400)} <= pairs
+    empty = image_match._matches(np.zeros(0, np.uint32), np.zeros(0, np.int64), bits[:0], places[:0])
+    assert [len(x) for x in empty] == [0, 0]
 
 
 def test_image_copies(spark):
