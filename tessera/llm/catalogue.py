@@ -45,6 +45,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.judge(docs.select("doc_id", "text"), rules).drop("text")
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5's columns of the exact phrases alone, which SQL can express."""
+    return op5_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6's statistics and base rules alone, which SQL can express."""
+    docs = decision_list.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), [])
+    return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
@@ -106,6 +117,36 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept.n, 0))::BI
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+_phrase = lambda p: "list_filter(range(1, len(ws)), lambda i: " + " AND ".join(f"coalesce(ws[i + {n}] = '{w}', false)" for n, w in enumerate(p.split())) + ")"
+_places = [(label, _phrase(p)) for p, label in sorted(license_scan.PHRASES.items(), key=lambda x: x[1])]
+LICENSE_BASE_SQL = f"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_filter._UPPER}', '{url_filter._LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents
+),
+h AS (SELECT doc_id, ws, {", ".join(f"{x} AS h{n}" for n, (_, x) in enumerate(_places))} FROM w),
+a AS (SELECT *, flatten([{", ".join(f"h{n}" for n in range(len(_places)))}]) AS every FROM h)
+SELECT doc_id, len(ws)::BIGINT AS n_words, len(every)::BIGINT AS n_base, list_min(every) - 1 AS first_word, list_max(every) - 1 AS last_word,
+  concat_ws(',', {", ".join(f"CASE WHEN len(h{n}) > 0 THEN '{label}' END" for n, (label, _) in enumerate(_places))}) AS base_labels
+FROM a
+"""
+
+QUALITY_BASE_SQL = """
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM documents
+),
+k AS (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS key FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, key) AS n FROM k) WHERE n > 1),
+r AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS j FROM again) GROUP BY doc_id),
+l AS (SELECT doc_id, text, ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')) AS lines FROM w),
+s AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM l LEFT JOIN r USING (doc_id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s
+"""
+
 # A simulation slot by slot, where the operator repeats one period in closed form.
 OP7_SQL = f"""
 WITH RECURSIVE c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
@@ -146,6 +187,8 @@ def queries() -> dict[str, Query]:
         "op4_simhash": op4_simhash,
         "op5_license_scan": op5_license_scan,
         "op6_quality_rules": op6_quality_rules,
+        "license_base": license_base,
+        "quality_base": quality_base,
         "op7_mix_sources": op7_mix_sources,
         "op8_sentencepiece": op8_sentencepiece,
         "sentencepiece_words": sentencepiece_words,
@@ -155,4 +198,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op7_mix_sources": OP7_SQL, "op10_url_filter": OP10_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "license_base": LICENSE_BASE_SQL, "quality_base": QUALITY_BASE_SQL, "op7_mix_sources": OP7_SQL, "op10_url_filter": OP10_SQL}

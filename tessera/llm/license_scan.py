@@ -9,8 +9,8 @@ Words are runs of ASCII letters, digits and non-ASCII characters, after A-Z is l
 are scanned row by row; nothing is shuffled.
 
 Defined cases: a null text is empty; texts without a phrase or notice have empty labels and score 0;
-texts of any length are scanned whole; repeated rows each keep their row; other columns pass through, and one
-that is named like an output column is replaced by it; an empty table gives an empty result.
+texts of any length are scanned whole; repeated rows each keep their row; only the id and the text are read and the
+id returned, so other columns, of whatever names, don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
