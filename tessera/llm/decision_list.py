@@ -3,8 +3,10 @@
 Statistics of each text are array and string expressions inside one scan, without a shuffle. Rules are
 learned from labelled documents: a rule is grown, one threshold condition at a time, by the information
 gain of its conjunction on two thirds of the labelled rows; pruned from its end on the other third; kept
-if precise enough there; and the rows that it covers leave before the next one is grown. Every step is
-one aggregation of (statistic, bin, label) counts. The list becomes one ``CASE WHEN``.
+if precise enough there; and the rows that it covers leave before the next one is grown. Where good rows are
+among those that a rule rejects, a rule that keeps is grown in the same way on these rows alone, and stands
+before it: the first rule that covers a row decides. Every step is one aggregation of (statistic, bin, label)
+counts. The list becomes one ``CASE WHEN``.
 
 Defined cases: a null text has no words; a text without words fails the base rules; an empty labels
 table, or labels of one kind, give an empty list (the base rules alone decide); labels may be null (not
@@ -48,6 +50,7 @@ class Condition:
 class Rule:
     conditions: tuple[Condition, ...]
     precision: float
+    keep: bool = False
 
     def column(self) -> Column:
         out = F.lit(True)
@@ -169,6 +172,26 @@ def _hits(rows: DataFrame, conditions: Sequence[Condition]) -> list[tuple[int, i
     return [(r[f"p{i}"] or 0, r[f"n{i}"] or 0) for i in range(len(conditions))]
 
 
+def _covering(grow: DataFrame, prune: DataFrame, cuts: dict[str, list[float]], least: int, max_conditions: int) -> tuple[tuple[Condition, ...], int, int] | None:
+    """A conjunction grown for bad rows and pruned, with the (bad, good) rows that it covers of those it was pruned on."""
+    conditions: list[Condition] = []
+    left = grow
+    while len(conditions) < max_conditions:
+        found = _best(_counts(left, cuts), cuts, least)
+        if not found:
+            break
+        conditions.append(found[0])
+        left = left.where(found[0].column())
+        if found[2] <= 0.01 * found[1]:
+            break
+    if not conditions:
+        return None
+    hits = _hits(prune, conditions)
+    worth = [(p - n) / max(1, p + n) for p, n in hits]
+    at = max(range(len(worth)), key=lambda i: (round(worth[i], 3), -i))
+    return tuple(conditions[: at + 1]), *hits[at]
+
+
 def learn(
     docs: DataFrame,
     labels: DataFrame,
@@ -182,7 +205,7 @@ def learn(
     min_precision: float = 0.85,
     min_share: float = 0.002,
 ) -> list[Rule]:
-    """An ordered list of rules, each of which rejects what it covers.
+    """An ordered list of rules: at most ``max_rules`` that reject what they cover, each after the exception it may have.
 
     ``labels`` has the id and a label of 1 (good) or 0 (bad). At most ``train_rows`` labelled rows are
     used, those with the smallest hashes of their ids; the bound keeps the broadcast ids and the stored
@@ -205,39 +228,41 @@ def learn(
     cuts = {s: sorted(set(quantiles[s])) for s in STATISTICS}
     grow, prune = rows.where("__part <> 0"), rows.where("__part = 0")
     n_grow, n_prune = grow.count(), prune.count()
+    least, least_pruned = max(2, int(min_share * n_grow)), max(1, min_share * n_prune)
     rules: list[Rule] = []
-    while len(rules) < max_rules and n_grow and n_prune:
-        conditions: list[Condition] = []
-        left = grow
-        while len(conditions) < max_conditions:
-            found = _best(_counts(left, cuts), cuts, max(2, int(min_share * n_grow)))
-            if not found:
-                break
-            conditions.append(found[0])
-            left = left.where(found[0].column())
-            if found[2] <= 0.01 * found[1]:
-                break
-        if not conditions:
+    rejecting = 0
+    while rejecting < max_rules and n_grow and n_prune:
+        found = _covering(grow, prune, cuts, least, max_conditions)
+        if not found or found[1] < least_pruned:
             break
-        hits = _hits(prune, conditions)
-        worth = [(p - n) / max(1, p + n) for p, n in hits]
-        at = max(range(len(worth)), key=lambda i: (round(worth[i], 3), -i))
-        p, n = hits[at]
-        rule = Rule(tuple(conditions[: at + 1]), p / max(1, p + n))
-        if p < max(1, min_share * n_prune) or rule.precision < min_precision:
+        conditions, p, n = found
+        exception = None
+        if n:
+            covers = Rule(conditions, 0.0).column()
+            flipped = [x.where(covers).withColumn("__bad", 1 - F.col("__bad")) for x in (grow, prune)]
+            exception = _covering(*flipped, cuts, least, max_conditions)
+        if exception and exception[1] >= max(least_pruned, min_precision * (exception[1] + exception[2])):
+            inner, good, bad = exception
+            first = [Rule(conditions + inner, good / (good + bad), keep=True)]
+            p, n = p - bad, n - good
+        else:
+            first = []
+        rule = Rule(conditions, p / max(1, p + n))
+        if p < least_pruned or rule.precision < min_precision:
             break
-        rules.append(rule)
+        rules += [*first, rule]
+        rejecting += 1
         grow, prune = grow.where(~rule.column()), prune.where(~rule.column())
     return rules
 
 
 def verdict(rules: Sequence[Rule]) -> Column:
-    """True if no rule covers the row: an ordered conditional expression over its statistics."""
+    """What the first rule that covers the row says, else true: an ordered conditional expression over its statistics."""
     if not rules:
         return F.lit(True)
-    out = F.when(rules[0].column(), F.lit(False))
+    out = F.when(rules[0].column(), F.lit(rules[0].keep))
     for r in rules[1:]:
-        out = out.when(r.column(), F.lit(False))
+        out = out.when(r.column(), F.lit(r.keep))
     return out.otherwise(F.lit(True))
 
 

@@ -245,6 +245,31 @@ def test_quality_learns(spark):
     assert decision_list.learn(docs, both.repartition(5)) == once
 
 
+def test_quality_exceptions_stand_first(spark):
+    """Symbols are bad unless words shout too, which one condition cannot say: the exception precedes its rule."""
+
+    def marked(seed):
+        r = random.Random(seed)
+        for i in range(600):
+            symbols, shouts = i % 3 == 0, i % 9 == 0 or i % 7 == 1
+            mark = "#$" * symbols + "!" * shouts
+            yield i, " ".join(r.choice("alpha beta gamma delta".split()) + str(r.randint(0, 40)) + mark for _ in range(r.randint(60, 120))), int(not symbols or shouts)
+
+    rows = list(marked(0))
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    rules = decision_list.learn(docs, labels, max_conditions=1)
+    assert [r.keep for r in rules[:2]] == [True, False] and rules[0].conditions[:1] == rules[1].conditions
+    fresh = list(marked(1))
+    new = spark.createDataFrame([x[:2] for x in fresh], "doc_id long, text string")
+
+    def right(order):
+        got = {r.doc_id: r.kept for r in decision_list.judge(new, order).where("NOT base_failed").collect()}
+        return sum(got[i] == bool(q) for i, _, q in fresh if i in got) / len(got)
+
+    assert right(rules) >= 0.98 > right(rules[::-1])
+
+
 def test_quality_plan_is_native(spark):
     rule = decision_list.Rule((decision_list.Condition("s_symbols", True, 0.5),), 1.0)
     plan = decision_list.judge(spark.createDataFrame([(1, "a")], "doc_id long, text string"), [rule])._jdf.queryExecution().executedPlan().toString()
