@@ -445,11 +445,26 @@ def candidates(classes: DataFrame, n: int, similarity: float = SIMILARITY) -> Da
 _PLACE = "place long, group long, side int, node long, size long, label long, shingles binary"
 
 
+def _numbered(values: np.ndarray) -> np.ndarray:
+    """The rank of each value among the different values, in half the memory of ``np.unique`` with its inverse."""
+    order = np.argsort(values)
+    values = values[order]
+    steps = np.ones(len(values), np.int32)
+    np.not_equal(values[1:], values[:-1], out=steps[1:], casting="unsafe")
+    del values
+    np.cumsum(steps, out=steps)
+    out = np.empty(len(order), np.int32)
+    out[order] = steps - 1
+    return out
+
+
 def _compared(table: pa.Table, similarity: float) -> pa.Table:
     """(a, b): a forest of the exact links of a place's groups; sides 0 and 1 are compared with each other, side 2 with itself."""
-    table = table.sort_by([("group", "ascending"), ("size", "ascending")])
-    group, side, node, size, label = (table[c].to_numpy() for c in ("group", "side", "node", "size", "label"))
-    _, flat = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["shingles"]]), return_inverse=True)
+    order = np.lexsort((table["size"].to_numpy(), table["group"].to_numpy()))
+    group, side, node, size, label = (table[c].to_numpy()[order] for c in ("group", "side", "node", "size", "label"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
+    flat = _numbered(np.concatenate([sets[i] for i in order]))
+    del sets
     edges = np.concatenate([[0], np.cumsum(size)])
     held = np.zeros(len(flat) + 1, bool)
     now = label.copy()
