@@ -119,6 +119,15 @@ class HashTable:
     def directory(self) -> DataFrame:
         return directory(self.hashed().select("h", "bytes"), self.max_bytes, initial_depth=self.initial_depth)
 
+    def fullness(self, size: int = 0) -> DataFrame:
+        """(depth, suffix, bytes, free, full, fits) of every bucket; fits: an entry whose record has ``size`` bytes can be added."""
+        free = F.lit(self.max_bytes).cast("long") - F.col("bytes")
+        return self.directory().select("depth", "suffix", "bytes", free.alias("free"), (free <= 0).alias("full"), (free >= size + ENTRY_OVERHEAD).alias("fits"))
+
+    def clear(self) -> HashTable:
+        """A table of the same keys and capacity without rows."""
+        return HashTable(self.rows.limit(0), self.keys, self.max_bytes, self.initial_depth)
+
     def bucket_scan(self, hash_: int) -> DataFrame:
         """All rows that share the bucket of a hash, not only those of equal hash."""
         leaf = self.directory().where(F.col("suffix") == suffix(F.lit(hash_).cast("long"), F.col("depth")))

@@ -85,6 +85,11 @@ class InvertedIndex:
         more = InvertedIndex.build(docs, id_col=id_col, text_col=text_col)
         return InvertedIndex(self.postings.unionByName(more.postings).distinct(), self.universe.unionByName(more.universe).distinct())
 
+    def put(self, rows: DataFrame) -> InvertedIndex:
+        """Whole lists of terms, (term, doc_id), set as they are: they replace those of known terms; the universe stays."""
+        rows = rows.select("doc_id", "term").where("doc_id IS NOT NULL AND term IS NOT NULL").distinct()
+        return InvertedIndex(self.postings.select("doc_id", "term").join(rows.select("term").distinct(), "term", "left_anti").unionByName(rows), self.universe)
+
     def lookup(self, term: str) -> DataFrame:
         return self.postings.where(F.col("term") == term).select("doc_id")
 

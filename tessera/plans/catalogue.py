@@ -162,6 +162,17 @@ def hash_directory(s: SparkSession, d: str) -> DataFrame:
     return _customers(s, d).directory().withColumn("depth", F.col("depth").cast("long"))
 
 
+def hash_fullness(s: SparkSession, d: str) -> DataFrame:
+    return _customers(s, d).fullness(40).withColumn("depth", F.col("depth").cast("long"))
+
+
+def index_put(s: SparkSession, d: str) -> DataFrame:
+    """The lists of two terms, one of them new, are set; the lengths of all lists follow."""
+    built = postings.InvertedIndex.build(_docs(s, d))
+    put = built.universe.where("doc_id % 2 = 0").select("doc_id", F.explode(F.array(F.lit("the"), F.lit("even ids"))).alias("term"))
+    return built.put(put).postings.groupBy("term").agg(F.count("*").alias("df"), F.max("doc_id").alias("last"))
+
+
 def stream_postings(s: SparkSession, d: str) -> DataFrame:
     path = fresh_path(s, "stream")
     stream = s.readStream.schema(table(s, d, "documents").schema).option("pathGlobFilter", "*.parquet")
@@ -302,6 +313,8 @@ def queries() -> dict[str, Query]:
         "hash_contains": hash_contains,
         "hash_bucket_scan": hash_bucket_scan,
         "hash_directory": hash_directory,
+        "hash_fullness": hash_fullness,
+        "index_put": index_put,
         "hash_lookup_by_hash": lambda s, d: _customers(s, d).lookup_hash(_hash_of(s, "42")),
         "hash_bucket_scan_of": lambda s, d: _customers(s, d).bucket_scan_of(c_custkey=42),
         "hash_save_load": hash_save_load,
@@ -388,6 +401,8 @@ def oracle_sql() -> dict[str, str]:
         "kdtree_leaves": _LEAVES,
         "ann_save_load": f"WITH {_POINTS}, {_MANY} {_BATCH}",
         "csv_questions": "SELECT row_number() OVER (ORDER BY doc_id) AS doc_id, trim(regexp_replace(translate(text, chr(92) || chr(10) || chr(13), '   '), '([ \t\x0B\f])[ \t\x0B\f]+', '\\1', 'g'), chr(32) || chr(9) || chr(11) || chr(12)) AS text FROM documents WHERE text IS NOT NULL",
+        "hash_fullness": f"WITH {_DIRECTORY} SELECT depth::BIGINT AS depth, suffix, bytes, {HASH_CAPACITY} - bytes AS free, bytes >= {HASH_CAPACITY} AS \"full\", {HASH_CAPACITY} - bytes >= 44 AS fits FROM leaves",
+        "index_put": f"WITH {P}, e AS (SELECT doc_id, unnest(['the', 'even ids']) AS term FROM u WHERE doc_id % 2 = 0) SELECT term, count(*) AS df, max(doc_id) AS last FROM (SELECT doc_id, term FROM p WHERE term NOT IN (SELECT term FROM e) UNION ALL SELECT doc_id, term FROM e) GROUP BY term",
         "hash_lookup_by_hash": f"WITH {_ENTRIES} SELECT c_custkey, c_nationkey FROM e WHERE h = (SELECT h FROM e WHERE c_custkey = 42)",
         "hash_bucket_scan_of": f"WITH {_DIRECTORY}, o AS (SELECT h AS wanted FROM e WHERE c_custkey = 42) SELECT c_custkey, c_nationkey FROM e, leaves, o WHERE leaves.suffix = wanted & ((1::BIGINT << depth) - 1) AND e.h & ((1::BIGINT << depth) - 1) = leaves.suffix",
         "hash_save_load": "SELECT c_custkey, c_nationkey FROM customer",

@@ -83,6 +83,11 @@ def test_same_id_merges_blank_and_null_vanish(spark):
 
 def test_saved_index(spark, tmp_path):
     i = InvertedIndex.build(frame(spark, MIXED))
+    put = i.put(spark.createDataFrame([(7, "new"), (7, "new"), (2, "new"), (None, "new"), (1, None)], "doc_id long, term string"))
+    assert sorted(r[0] for r in put.lookup("new").collect()) == [2, 7]
+    again = put.put(spark.createDataFrame([(3, "new")], "doc_id long, term string"))
+    assert [r[0] for r in again.lookup("new").collect()] == [3] and again.postings.count() == i.postings.where("term <> 'new'").count() + 1
+    assert again.total_documents() == i.total_documents()
     i.save(str(tmp_path))
     loaded = InvertedIndex.load(spark, str(tmp_path))
     for one in (i, loaded):

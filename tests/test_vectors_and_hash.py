@@ -135,6 +135,9 @@ def test_hash_table(spark):
     stats = t.stats().first()
     assert stats.directory_slots == 2**stats.global_depth >= stats.leaf_buckets == len(leaves)
     assert t.contains(spark.createDataFrame([(7,), (9999,)], "id int")).count() == 1
+    held = {(r.depth, r.suffix): r for r in t.fullness(6).collect()}
+    assert len(held) == t.directory().count() and all(r.free == 1024 - r.bytes and r.full == (r.bytes >= 1024) and r.fits == (r.bytes + 10 <= 1024) for r in held.values())
+    assert t.clear().rows.count() == 0 and t.clear().directory().count() == 2
 
 
 def test_hash_upsert_replaces(spark):
