@@ -353,3 +353,10 @@ def test_recall_of_bands(n):
             near = np.bitwise_count(simhash.wide_fingerprint(h[:size])[:2] ^ simhash.wide_fingerprint(h[size - both :])[:2])
             hit[s] += (a[bands] == b[bands]).all(axis=1).any() and near[0] <= simhash.WIDE_64 and near.sum() <= simhash.WIDE_128
     assert hit[0.8] >= 0.9 * 200 and hit[0.9] >= 0.99 * 200
+
+
+def test_numbered_ranks_like_unique():
+    r = np.random.default_rng(3)
+    for n, top in ((1, 5), (2, 1), (1000, 50), (5000, 2**63)):
+        values = r.integers(0, top, n).astype(np.uint64)
+        assert np.array_equal(simhash._numbered(values), np.unique(values, return_inverse=True)[1])
