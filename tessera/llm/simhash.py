@@ -422,7 +422,7 @@ def plan_bands(n: int, similarity: float = SIMILARITY) -> np.ndarray:
 
 
 def candidates(classes: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): forests that connect the classes that share a band and differ in few bits."""
+    """(a, b): a forest, or one for each ``BUCKET_ENTRIES`` entries, that connects the classes that share a band and differ in few bits."""
     bands = plan_bands(n, similarity)
     width = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(width, n * len(bands) // BUCKET_ENTRIES + 1)
@@ -439,7 +439,14 @@ def candidates(classes: DataFrame, n: int, similarity: float = SIMILARITY) -> Da
                 full, cells = _cells((mix(keys) % np.uint64(buckets)).astype(np.int64), buckets, keys, np.ones(len(keys), bool), node[row], fp[row], fp2[row])
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([0] * len(full), pa.int32()), *(pa.array(c, pa.binary()) for c in cells)], names=["bucket", "part", "keys", "owns", "nodes", "fps", "fps2"])
 
-    return _meet_entries(classes.select("node", "fp", "fp2", "wide").mapInArrow(enter, _ENTRIES), WIDE_64, WIDE_128)
+    def thin(table: pa.Table) -> pa.Table:
+        a, b = _forest(table["a"].to_numpy(), table["b"].to_numpy())
+        return pa.table({"a": a, "b": b})
+
+    found = _meet_entries(classes.select("node", "fp", "fp2", "wide").mapInArrow(enter, _ENTRIES), WIDE_64, WIDE_128)
+    # Each band has a forest of its own over a group; one forest over all of them connects the same.
+    places = n * len(bands) // BUCKET_ENTRIES + 1
+    return found.withColumn("place", F.pmod(F.xxhash64("a"), F.lit(places))).groupBy("place").applyInArrow(thin, "a long, b long")
 
 
 _PLACE = "place long, group long, side int, node long, size long, label long, shingles binary"

@@ -338,6 +338,16 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     assert len(set(to)) > 1 and got == dict(zip([i for i, _ in rows], to, strict=True))
 
 
+def test_candidates_of_all_bands_make_one_forest(spark):
+    r = random.Random(4)
+    words = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    rows = [(i, " ".join(f"e{i}" if r.random() < 0.02 else w for w in words)) for i in range(300)]
+    nodes = simhash.fingerprints(frame(spark, rows), shingle=5, wide=True).withColumnRenamed("id", "node")
+    edges = [(x.a, x.b) for x in simhash.candidates(nodes, len(rows)).collect()]
+    group = {x.node for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert 250 < len(group) and len(edges) < len(group)
+
+
 @pytest.mark.parametrize("n", [10_000, 10_000_000, 10**10])
 def test_recall_of_bands(n):
     r = np.random.default_rng(n % 97)
