@@ -1,6 +1,7 @@
 """Substring dedup, SimHash, components and image copies against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -279,6 +280,36 @@ def test_group_of_image_copies_makes_few_links(spark):
     assert image_match.image_links(df.select(F.col("media_id").alias("node"), "image")).count() < 10 * len(rows)
 
 
+def test_no_link_is_lost_in_a_crowd(spark):
+    rng = np.random.default_rng(1)
+
+    def picture(large, small):  # oblongs, whose corners are all alike, and squares of little contrast
+        out = np.full((140, 140), 60.0, np.float32)
+        for y, x, h, w in large:
+            out[y : y + h, x : x + w] = 190
+        for y, x in small:
+            out[y : y + 10, x : x + 10] += 40
+        return image_match.write_image(out)
+
+    rows = []
+    for i in range(8):  # every second one has a copy, whose squares are elsewhere
+        large = [(int(rng.integers(*y)), int(rng.integers(14, 80)), int(rng.integers(26, 36)), int(rng.integers(26, 45))) for y in ((14, 30), (78, 90))]
+        for k in (i, 100 + i) if i % 2 else (i,):
+            rows.append((k, picture(large, rng.integers(12, 118, (8, 2)).tolist())))
+    pictures = {i: image_match.read_image(x) for i, x in rows}
+    got = {r.media_id: r.class_id for r in image_match.image_classes(spark.createDataFrame(rows, "media_id long, image binary")).collect()}
+    n_links = 0
+    for m, n in itertools.combinations(sorted(pictures), 2):  # brute force: all corners of every two pictures that share a band
+        (a, x), (b, y) = image_match.describe(pictures[m]), image_match.describe(pictures[n])
+        near = np.bitwise_count(x[:, None].view(np.uint64) ^ y[None].view(np.uint64)).sum(axis=2) <= image_match.NEAR
+        i, j = np.nonzero(near & (image_match._values(x)[:, None] == image_match._values(y)[None]).any(axis=2))
+        inliers, *by = image_match.fitted(a[i], b[j])
+        if inliers >= image_match.MATCHES and image_match.alikeness(pictures[m], pictures[n], *by) >= image_match.ALIKE:
+            assert got[m] == got[n], (m, n)
+            n_links += 1
+    assert n_links >= 4
+
+
 def test_png():
     import struct
     import zlib
