@@ -3,17 +3,25 @@
 Without deletes, a bucket of suffix s at depth d splits if and only if the entries whose hashes end in s
 outgrow its capacity, in whatever order they came. So the directory is a query: entries are summed by hash,
 rolled up over depths, and the leaves are the children of overflowing nodes that don't overflow themselves.
+Depths up to TOP_BITS are small; those below are rolled up apart for each suffix, and only where it overflows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 HASH_BITS = 28
+#: Depth up to which the driver has the directory: 2^12 sums.
+TOP_BITS = 12
 ENTRY_OVERHEAD = 4
 
 
@@ -36,23 +44,64 @@ def suffix(hash_: Column, depth: int | Column) -> Column:
     return hash_.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), depth.cast("int")) - 1)
 
 
+def _buckets(rows: list[np.ndarray], nodes: np.ndarray, depth: int, last: int, max_bytes: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(depth, suffix, bytes, n) of the leaves at and below sorted nodes of one depth, and the nodes that overflow at the last one.
+
+    rows: hashes, bytes and counts.
+    """
+    out, (h, size, n) = [np.zeros((4, 0), np.int64)], rows
+    while len(nodes):
+        own = h & ((1 << depth) - 1)
+        at = np.minimum(np.searchsorted(nodes, own), len(nodes) - 1)
+        here = nodes[at] == own
+        h, size, n, at = h[here], size[here], n[here], at[here]
+        sums = np.zeros((2, len(nodes)), np.int64)
+        np.add.at(sums[0], at, size)
+        np.add.at(sums[1], at, n)
+        over = (sums[0] > max_bytes) & (depth < HASH_BITS)
+        out.append(np.stack([np.full((~over).sum(), depth), nodes[~over], *sums[:, ~over]]))
+        if depth == last:
+            return list(np.concatenate(out, axis=1)), nodes[over]
+        h, size, n = h[over[at]], size[over[at]], n[over[at]]
+        nodes = np.concatenate([nodes[over], nodes[over] + (1 << depth)])  # sorted: the added bit is above all others
+        depth += 1
+    return list(np.concatenate(out, axis=1)), nodes
+
+
 def directory(entries: DataFrame, max_bytes: int, *, initial_depth: int = 1) -> DataFrame:
     """(depth, suffix, bytes, n) of every bucket, empty ones too. entries: (h, bytes).
 
     ValueError if an entry alone outgrows a bucket. Entries of equal hash stay together at the last depth.
+    The sums by hash are stored. The driver rolls up those by the low TOP_BITS only; what is below a suffix of
+    that depth has at most 2^(HASH_BITS - TOP_BITS) hashes and is split in one task.
     """
-    largest = entries.agg(F.max("bytes")).first()[0]
-    if largest is not None and largest > max_bytes:
-        raise ValueError(f"an entry of {largest} bytes is larger than a bucket of {max_bytes}")
-    by_hash = entries.groupBy("h").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
-    depths = by_hash.select(F.explode(F.sequence(F.lit(initial_depth), F.lit(HASH_BITS))).alias("depth"), "h", "bytes", "n")
-    nodes = depths.groupBy("depth", suffix(F.col("h"), F.col("depth")).alias("suffix")).agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
-    over = nodes.where((F.col("bytes") > max_bytes) & (F.col("depth") < HASH_BITS)).select("depth", "suffix")
-    child = F.explode(F.array(F.col("suffix"), F.col("suffix") + F.call_function("shiftleft", F.lit(1).cast("long"), F.col("depth")))).alias("suffix")
-    roots = entries.sparkSession.range(1 << initial_depth).select(F.lit(initial_depth).alias("depth"), F.col("id").alias("suffix"))
-    candidates = over.select((F.col("depth") + 1).alias("depth"), child).unionByName(roots)
-    leaves = candidates.join(over, ["depth", "suffix"], "left_anti")
-    return leaves.join(nodes, ["depth", "suffix"], "left").select("depth", "suffix", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    top = max(TOP_BITS, initial_depth)
+    by_hash = cut(entries.groupBy("h").agg(F.sum("bytes").cast("long").alias("bytes"), F.count("*").alias("n"), F.max("bytes").cast("long").alias("largest")))
+    sums = by_hash.groupBy(suffix(F.col("h"), top).alias("g")).agg(F.sum("bytes"), F.sum("n"), F.max("largest")).collect()
+    g, size, n, largest = np.array([list(r) for r in sums], np.int64).reshape(-1, 4).T
+    if largest.max(initial=0) > max_bytes:
+        raise ValueError(f"an entry of {largest.max()} bytes is larger than a bucket of {max_bytes}")
+    upper, split = _buckets([g, size, n], np.arange(1 << initial_depth), initial_depth, top, max_bytes)
+    spark, schema = entries.sparkSession, "depth int, suffix long, bytes long, n long"
+    found = spark.createDataFrame(list(zip(*[x.tolist() for x in upper], strict=True)), schema)
+    if not len(split):
+        return found
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((3, 0), np.int64)  # rows whose suffix may go on in the next batch
+        for batch in chain(batches, [None]):
+            last = held.shape[1]
+            if batch is not None:
+                held = np.concatenate([held, [batch.column(i).to_numpy() for i in range(3)]], axis=1)
+                last = held.shape[1] and np.searchsorted(held[0] & mask, held[0, -1] & mask)
+            whole, held = held[:, :last], held[:, last:]
+            parents = np.intersect1d(whole[0] & mask, split)
+            leaves, _ = _buckets(list(whole), np.concatenate([parents, parents + (1 << top)]), top + 1, HASH_BITS, max_bytes)
+            yield pa.RecordBatch.from_arrays([pa.array(leaves[0], pa.int32()), *map(pa.array, leaves[1:])], names=["depth", "suffix", "bytes", "n"])
+
+    mask = (1 << top) - 1
+    rows = by_hash.select("h", "bytes", "n", suffix(F.col("h"), top).alias("g")).repartition("g").sortWithinPartitions("g")
+    return found.unionByName(rows.select("h", "bytes", "n").mapInArrow(below, schema))
 
 
 @dataclass
