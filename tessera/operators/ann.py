@@ -60,7 +60,7 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 
 
 def _rows(batch: pa.RecordBatch, i: int) -> np.ndarray:
-    return np.array(batch.column(i).to_pylist(), np.float64)
+    return vector.matrix(batch.column(i))
 
 
 @dataclass
@@ -91,14 +91,23 @@ class IVFIndex:
         return IVFIndex(_load_arrays(spark, f"{path}/centres")[0], spark.read.parquet(f"{path}/points").withColumn("list", F.col("list").cast("long")))
 
     def search(self, queries: DataFrame, k: int, nprobe: int = 8) -> DataFrame:
-        """(qid, id, dist, rank); the probes meet their lists in an equi-join."""
-        spark, found = self.points.sparkSession, None
+        """(qid, id, dist, rank): each task offers the rows of a list to the queries that probe it."""
+        found, nlist = None, len(self.centres)
         for ids, vectors in vector._blocks(queries, "id", "vec"):
-            order = np.argsort(squared(vectors, self.centres), axis=1)[:, :nprobe]
-            probes = spark.createDataFrame([(int(i), [float(x) for x in v], int(c)) for i, v, own in zip(ids, vectors, order, strict=True) for c in own], "qid long, q array<double>, list long")
-            part = self.points.join(F.broadcast(probes), "list").select("qid", "id", vector.column_distance(F.col("vec"), F.col("q")).alias("dist"))
+            probes = np.zeros((len(ids), nlist), bool)
+            np.put_along_axis(probes, np.argsort(squared(vectors, self.centres), axis=1)[:, :nprobe], True, axis=1)
+
+            def near(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, vectors: np.ndarray = vectors, probes: np.ndarray = probes) -> Iterator[pa.RecordBatch]:
+                best = vector.Nearest(vectors, k)
+                for batch in batches:
+                    own, rows, lists = batch.column(0).to_numpy(), _rows(batch, 1), batch.column(2).to_numpy()
+                    for c in np.unique(lists):
+                        best.offer(own[lists == c], rows[lists == c], np.flatnonzero(probes[:, c]))
+                yield best.found(ids)
+
+            part = self.points.select("id", "vec", "list").mapInArrow(near, "qid long, id long, dist double")
             found = part if found is None else found.unionByName(part)
-        return _found(spark, found, k)
+        return _found(self.points.sparkSession, found, k)
 
 
 @dataclass
@@ -284,10 +293,9 @@ class HNSWIndex:
 
 @dataclass
 class LSHIndex:
-    """Rows by their buckets in tables of random projections; rows that share a bucket with a query are ranked exactly."""
+    """Rows with their buckets in tables of random projections; rows that share a bucket with a query are ranked exactly."""
 
     points: DataFrame
-    buckets: DataFrame
     planes: np.ndarray
     offsets: np.ndarray
     width: float
@@ -297,38 +305,63 @@ class LSHIndex:
         dim = vector.dimension(points) or 1
         rng = np.random.default_rng(seed)
         planes, offsets = rng.normal(size=(tables, hashes, dim)), rng.uniform(0, width, (tables, hashes))
-        rows = points.select(F.col("id").cast("long").alias("id"), "vec")
 
         def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
                     keys = _cells(_rows(batch, 1), planes, offsets, width)
-                    at = np.repeat(np.arange(batch.num_rows), tables)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(keys.ravel())], names=["id", "bucket"])
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables), pa.int32()), pa.array(keys.ravel()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["id", "vec", "buckets"])
 
-        return LSHIndex(rows, rows.mapInArrow(keyed, "id long, bucket long"), planes, offsets, width)
+        rows = points.select(F.col("id").cast("long").alias("id"), "vec")
+        return LSHIndex(rows.mapInArrow(keyed, "id long, vec array<float>, buckets array<long>"), planes, offsets, width)
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """(qid, id, dist, rank)"""
-        spark, found = self.points.sparkSession, None
+        found = None
         for ids, vectors in vector._blocks(queries, "id", "vec"):
             keys = _cells(vectors, self.planes, self.offsets, self.width)
-            probes = spark.createDataFrame([(int(i), int(b)) for i, own in zip(ids, keys, strict=True) for b in own], "qid long, bucket long")
-            named = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(ids, vectors, strict=True)], "qid long, q array<double>")
-            pairs = self.buckets.join(F.broadcast(probes), "bucket").select("qid", "id").distinct()
-            part = pairs.join(self.points, "id").join(F.broadcast(named), "qid").select("qid", "id", vector.column_distance(F.col("vec"), F.col("q")).alias("dist"))
+
+            def near(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, vectors: np.ndarray = vectors, keys: np.ndarray = keys) -> Iterator[pa.RecordBatch]:
+                best, held = vector.Nearest(vectors, k), [_by_value(x) for x in keys.T]
+                for batch in batches:
+                    if not batch.num_rows:
+                        continue
+                    own, rows, buckets = batch.column(0).to_numpy(), _rows(batch, 1), batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+                    for part in vector._steps(len(rows), len(ids)):
+                        mask = _shared(held, buckets[part], len(ids))
+                        best.offer(own[part], rows[part], mask=mask)
+                yield best.found(ids)
+
+            part = self.points.select("id", "vec", "buckets").mapInArrow(near, "qid long, id long, dist double")
             found = part if found is None else found.unionByName(part)
-        return _found(spark, found, k)
+        return _found(self.points.sparkSession, found, k)
 
     def save(self, path: str) -> None:
         self.points.write.mode("overwrite").parquet(f"{path}/points")
-        self.buckets.write.mode("overwrite").parquet(f"{path}/buckets")
         _save_arrays(self.points.sparkSession, f"{path}/planes", [self.planes, self.offsets, np.array(self.width)])
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> LSHIndex:
         planes, offsets, width = _load_arrays(spark, f"{path}/planes")
-        return LSHIndex(spark.read.parquet(f"{path}/points"), spark.read.parquet(f"{path}/buckets"), planes, offsets, float(width))
+        return LSHIndex(spark.read.parquet(f"{path}/points"), planes, offsets, float(width))
+
+
+def _by_value(keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct keys, sorted, and the places of each."""
+    values, n = np.unique(keys, return_counts=True)
+    return values, np.split(np.argsort(keys, kind="stable"), np.cumsum(n)[:-1])
+
+
+def _shared(held: list[tuple[np.ndarray, list[np.ndarray]]], buckets: np.ndarray, queries: int) -> np.ndarray:
+    """Which query shares a bucket with which row, in any table. held: each table's buckets of the queries."""
+    mask = np.zeros((queries, len(buckets)), bool)
+    for t, (values, places) in enumerate(held):
+        own, rows = _by_value(buckets[:, t])
+        _, here, there = np.intersect1d(values, own, assume_unique=True, return_indices=True)
+        for i, j in zip(here.tolist(), there.tolist(), strict=True):
+            mask[places[i][:, None], rows[j]] = True
+    return mask
 
 
 def _cells(rows: np.ndarray, planes: np.ndarray, offsets: np.ndarray, width: float) -> np.ndarray:

@@ -2,7 +2,8 @@
 
 Distances are sums of squares in double precision; ties go to the smaller id; a radius is inclusive. One
 query is a column expression (a bounded top-k, no full sort). Many queries are a stated set, taken in
-blocks against all rows: each task keeps k rows for each query of a block, and only those are shuffled.
+blocks against all rows: each task keeps k rows for each query of a block (``Nearest``), and only those are
+shuffled. The other searches of blocks offer it their own rows.
 """
 
 from __future__ import annotations
@@ -12,12 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Queries sent to the tasks at once (each block reads the points once), and rows compared at once.
 QUERY_BLOCK = 8192
 ROWS_AT_ONCE = 4096
+#: Pairs in one product of matrices, and pairs whose distances are computed together.
+PAIRS_AT_ONCE = 1 << 22
+DISTANCES_AT_ONCE = 1 << 16
 
 
 def distance(vector: Column, query: Sequence[float]) -> Column:
@@ -62,36 +67,92 @@ def _blocks(queries: DataFrame, id_col: str, vec_col: str) -> Iterator[tuple[np.
         yield np.array(ids, np.int64), np.array(vectors, np.float64)
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one dimension as rows; ValueError for others."""
+    if not len(column):
+        return np.zeros((0, 0))
+    sizes = pc.list_value_length(column)
+    if column.null_count or pc.min(sizes).as_py() != pc.max(sizes).as_py():
+        raise ValueError("points without a vector, or of several dimensions")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _pairs(vectors: np.ndarray, rows: np.ndarray, bound: np.ndarray, k: int | None, mask: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of the pairs of the mask that can be within a query's bound, and among its k nearest rows if it has none.
+
+    One product of matrices leaves few pairs, with room for its rounding; their distances are computed apart.
+    """
+    own, other = (vectors * vectors).sum(axis=1), (rows * rows).sum(axis=1)
+    near = own[:, None] - 2 * (vectors @ rows.T) + other[None, :]
+    if mask is not None:
+        near[~mask] = np.inf
+    limit = bound * bound
+    if k is not None and len(rows) > k and len(free := np.flatnonzero(~np.isfinite(bound))):
+        limit[free] = np.partition(near[free], k - 1, axis=1)[:, k - 1]
+    hit = ~(near > (limit + 1e-9 * (own + other.max(initial=0)) + 1e-300)[:, None])
+    q, r = np.nonzero(hit if mask is None else hit & mask)
+    dist = np.empty(len(q))
+    for a in range(0, len(q), DISTANCES_AT_ONCE):
+        d = rows[r[a : a + DISTANCES_AT_ONCE]] - vectors[q[a : a + DISTANCES_AT_ONCE]]
+        dist[a : a + DISTANCES_AT_ONCE] = np.sqrt((d * d).sum(axis=1))
+    return q, r, dist
+
+
+def _steps(n: int, queries: int) -> Iterator[slice]:
+    step = max(1, min(ROWS_AT_ONCE, PAIRS_AT_ONCE // max(1, queries)))
+    return (slice(a, a + step) for a in range(0, n, step))
+
+
+class Nearest:
+    """The k nearest of the rows offered so far to each query of a block; of one distance the smaller ids."""
+
+    def __init__(self, vectors: np.ndarray, k: int, bound: np.ndarray | None = None):
+        """bound: distances beyond which a query looks for nothing."""
+        self.vectors, self.k = vectors, k
+        self.bound = np.full(len(vectors), np.inf) if bound is None else bound.astype(np.float64)
+        self.q, self.ids, self.dist = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def offer(self, ids: np.ndarray, rows: np.ndarray, own: np.ndarray | None = None, mask: np.ndarray | None = None) -> None:
+        """own: numbers of the queries that look at these rows; mask: which of them at which row."""
+        vectors = self.vectors if own is None else self.vectors[own]
+        for part in _steps(len(rows), len(vectors)):
+            q, r, dist = _pairs(vectors, rows[part], self.bound if own is None else self.bound[own], self.k, None if mask is None else mask[:, part])
+            if not len(q):
+                continue
+            q = q if own is None else own[q]
+            changed = np.zeros(len(self.vectors), bool)
+            changed[q] = True
+            old = changed[self.q]
+            q, near, dist = np.concatenate([self.q[old], q]), np.concatenate([self.ids[old], ids[part][r]]), np.concatenate([self.dist[old], dist])
+            order = np.lexsort((near, dist, q))
+            q, near, dist = q[order], near[order], dist[order]
+            rank = np.arange(len(q)) - np.searchsorted(q, q)
+            last = rank == self.k - 1
+            self.bound[q[last]] = np.fmin(self.bound[q[last]], dist[last])
+            keep = rank < self.k
+            self.q, self.ids, self.dist = (np.concatenate([x[~old], y[keep]]) for x, y in ((self.q, q), (self.ids, near), (self.dist, dist)))
+
+    def found(self, qids: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(qids[self.q]), pa.array(self.ids), pa.array(self.dist)], names=["qid", "id", "dist"])
+
+
 def _near(points: DataFrame, block: tuple[np.ndarray, np.ndarray], id_col: str, vec_col: str, k: int | None, radius: float | None) -> DataFrame:
     """(qid, id, dist): from each task, for each query, the k nearest of its rows or those within the radius."""
     qids, vectors = block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = (np.zeros(0, np.int64), np.zeros(0))
-        best = [none] * len(qids)  # the k nearest of the task so far
-        for whole in batches:
-            for a in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(a, ROWS_AT_ONCE)
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                rows = np.array(batch.column(1).to_pylist(), np.float64)
-                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for j, v in enumerate(vectors):
-                    d = rows - v
-                    d = np.sqrt((d * d).sum(axis=1))
-                    if k is None:
-                        at = np.flatnonzero(d <= radius)
-                        out.append((np.full(len(at), qids[j]), ids[at], d[at]))
-                        continue
-                    at = np.flatnonzero(d <= best[j][1][-1]) if len(best[j][1]) >= k else np.arange(len(d))
-                    if len(at):
-                        near, far = np.concatenate([best[j][0], ids[at]]), np.concatenate([best[j][1], d[at]])
-                        order = np.lexsort((near, far))[:k]
-                        best[j] = near[order], far[order]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["qid", "id", "dist"])
-        if k is not None and len(qids):
-            sizes = [len(x[0]) for x in best]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, sizes)), *(pa.array(np.concatenate([x[i] for x in best])) for i in (0, 1))], names=["qid", "id", "dist"])
+        best = Nearest(vectors, k or 0)
+        for batch in batches:
+            ids, rows = batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1))
+            if k is not None:
+                best.offer(ids, rows)
+                continue
+            for part in _steps(len(rows), len(qids)):
+                q, r, dist = _pairs(vectors, rows[part], np.full(len(qids), radius), None, None)
+                at = dist <= radius
+                yield pa.RecordBatch.from_arrays([pa.array(qids[q[at]]), pa.array(ids[part][r[at]]), pa.array(dist[at])], names=["qid", "id", "dist"])
+        if k is not None:
+            yield best.found(qids)
 
     return points.select(F.col(id_col).cast("long"), F.col(vec_col)).mapInArrow(run, "qid long, id long, dist double")
 
