@@ -261,12 +261,14 @@ def hash_save_load(s: SparkSession, d: str) -> DataFrame:
 
 
 def csv_questions(s: SparkSession, d: str) -> DataFrame:
-    """Documents as a labelled CSV file, read again: ids from 1 in the file's order."""
+    """Documents as labelled CSV files of ranges of ids, read again: ids from 1 in the files' order."""
     path = fresh_path(s, "questions")
-    plain = F.translate(F.coalesce("text", F.lit("")), "\\\n\r", "   ")
+    plain = F.translate("text", "\\\n\r", "   ")
     quoted = F.concat(F.lit('"'), F.replace(plain, F.lit('"'), F.lit('\\"')), F.lit('"'))
-    rows = table(s, d, "documents").coalesce(1).sortWithinPartitions("doc_id").select(F.concat(F.lit("0,1,"), quoted).alias("value"))
-    s.range(1).select(F.lit("label-coarse,label-fine,text").alias("value")).unionByName(rows).coalesce(1).write.text(path)
+    rows = table(s, d, "documents").where("text IS NOT NULL").select(F.lit(1).alias("part"), "doc_id", F.concat(F.lit("0,1,"), quoted).alias("value"))
+    header = s.range(1).select(F.lit(0).alias("part"), F.lit(None).cast("long").alias("doc_id"), F.lit("label-coarse,label-fine,text").alias("value"))
+    order = ["part", F.asc_nulls_last("doc_id")]
+    header.unionByName(rows).repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.text(path)
     return csv_text.read_questions(s, path)
 
 

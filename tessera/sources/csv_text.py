@@ -41,28 +41,43 @@ def squeeze(text: str) -> str:
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, text) of a file of three columns with a header: ids from 1 in the file's order.
+    """(doc_id, text) of a file of three columns with a header, or of a folder's files: ids from 1 in the files' order.
 
-    ValueError if there is no row; a row without exactly three fields fails the job.
+    Files are in the order of their names, and only the first one begins with a header. A first pass counts the lines
+    of each split; those before a split number its lines. ValueError if there is no row; a row without exactly three
+    fields fails the job.
     """
-    # Line numbers need the file's order, which only the RDD's numbering gives without one task for all.
-    lines = spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex()
-    rows = lines.filter(lambda x: x[1] > 0 and x[0] != "").map(lambda x: x[0]).zipWithIndex()
-    numbered = spark.createDataFrame(rows.map(lambda x: (x[1] + 1, x[0])), "doc_id long, line string")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    blank = F.col("value") == ""
+    splits = lines.withColumn("__n", F.monotonically_increasing_id()).groupBy("file", "at").agg(F.count_if(~blank).alias("n"), F.min_by(blank, "__n").alias("blank"))
+    found = splits.orderBy("file", "at").collect()
+    first = (found[0]["file"], found[0]["at"]) if found else None
+    before, n = {}, 0
+    for r in found:
+        before[r["file"], r["at"]] = n
+        n += r["n"] - (n == 0 and (r["file"], r["at"]) == first and not r["blank"])
+    if not n:
+        raise ValueError(f"no documents in {path}")
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        split, next_id, header = None, 0, False
         for frame in frames:
-            texts = []
-            for line in frame["line"]:
+            ids, texts = [], []
+            for line, *own in zip(frame["value"], frame["file"], frame["at"], strict=True):
+                if (own := tuple(own)) != split:
+                    split, next_id, header = own, before[own] + 1, own == first
+                if header or not line:
+                    header = False
+                    continue
                 fields = split_line(line.rstrip("\r"))
                 if len(fields) != 3:
                     raise ValueError(f"{len(fields)} fields where 3 are expected: {line[:80]!r}")
+                ids.append(next_id)
                 texts.append(squeeze(fields[2]))
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "text": texts})
+                next_id += 1
+            yield pd.DataFrame({"doc_id": ids, "text": texts})
 
-    if not numbered.take(1):
-        raise ValueError(f"no documents in {path}")
-    return numbered.mapInPandas(parse, "doc_id long, text string")
+    return lines.mapInPandas(parse, "doc_id long, text string")
 
 
 def read_pixels(spark: SparkSession, path: str, *, pixels: int = 784, header: bool = True) -> DataFrame:
