@@ -19,3 +19,17 @@ def terms(text: Column) -> Column:
     """The words of a normalised text, repeats included; none for a blank one."""
     n = normalize(text)
     return F.when(n == "", F.array().cast("array<string>")).otherwise(F.split(n, " "))
+
+
+def has_term(text: Column) -> Column:
+    """Whether a text has a character that normalisation keeps."""
+    return text.rlike("[^ \\t\\n\\x0B\\f\\r!-/:-@\\[-`{-~]")
+
+
+_LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
+_PUNCTUATION = bytes(c for c in range(128) if chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """The same as ``terms``, of UTF-8 bytes."""
+    return text.translate(_LOWERED, _PUNCTUATION).split()

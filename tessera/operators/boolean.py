@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import LOWER, UPPER, normalize
+from tessera.session import cut
 
 _SPACE = " \t\n\v\f\r"
 _TO_LOWER, _TO_UPPER = str.maketrans(UPPER, LOWER), str.maketrans(LOWER, UPPER)
@@ -155,7 +156,14 @@ def search(postings: DataFrame, universe: DataFrame, query: str, *, normalize_te
 
 
 def search_by_sets(postings: DataFrame, universe: DataFrame, query: str) -> DataFrame:
-    """The same result by set operations, one for each operator of the query."""
+    """The same result by set operations, one for each operator of the query.
+
+    The postings of the query's terms are stored first, and the universe if it is wanted, so that they are made once.
+    """
+    node = parse(query)
+    postings = cut(postings.where(F.col("term").isin(sorted(set(node.terms())))))
+    if "NOT" in tokenize(query):
+        universe = cut(universe)
 
     def of(node: Node) -> DataFrame:
         if isinstance(node, Term):
@@ -168,7 +176,7 @@ def search_by_sets(postings: DataFrame, universe: DataFrame, query: str) -> Data
             return difference(of(node.left), of(node.right.of))
         return of(node.left).join(of(node.right), "doc_id", "left_semi")
 
-    return of(parse(query))
+    return of(node)
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:

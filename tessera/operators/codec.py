@@ -108,9 +108,69 @@ def unpack_blocks(blocks: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def encode_lists(lists: list[np.ndarray]) -> tuple[list[bytes], list[list[tuple[int, int]]]]:
+    """The same as ``encode`` and ``skip_pointers_of`` of many lists that aren't empty; their blocks are packed together."""
+    sizes = np.array([len(x) for x in lists], np.int64)
+    ids, first = np.concatenate([np.asarray(x, np.int64) for x in lists] or [np.zeros(0, np.int64)]), np.cumsum(sizes) - sizes
+    gaps = np.diff(ids, prepend=0)
+    later = np.ones(len(ids), bool)
+    later[first] = False
+    if (gaps[later] <= 0).any() or (ids < 0).any() or (ids > 2**31 - 1).any():
+        raise ValueError("ids must be strictly increasing, from 0 to 2^31 - 1")
+    gaps[first] = ids[first]
+    many = -(-sizes // BLOCK)
+    number = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    begins = np.repeat(first, many) + number * BLOCK
+    blocks = pack_blocks(gaps, np.append(begins[1:], len(ids))[: len(begins)])
+    heads, out, at = ids[begins].tolist(), ([], []), 0
+    for n in many.tolist():
+        own, offset, skips = blocks[at : at + n], 0, []
+        for doc_id, block in zip(heads[at : at + n], own, strict=True):
+            skips.append((doc_id, offset))
+            offset += len(block)
+        out[0].append(b"".join(own))
+        out[1].append(skips)
+        at += n
+    return out
+
+
+def decode_lists(lists: list[bytes]) -> list[np.ndarray]:
+    """The same as ``decode`` of many lists; their blocks are read together."""
+    blocks, many = [], []
+    for data in lists:
+        at, before = 0, len(blocks)
+        while at < len(data):
+            end = at + 2 + -(-data[at] * data[at + 1] // 8) if at + 1 < len(data) else len(data)
+            blocks.append(data[at:end])
+            at = end
+        many.append(len(blocks) - before)
+    gaps, out, at = unpack_blocks(blocks), [], 0
+    for n in many:
+        out.append(np.cumsum(gaps[at] if n == 1 else np.concatenate([np.zeros(0, np.int64), *gaps[at : at + n]])))
+        at += n
+    return out
+
+
+def _pieces(ranked: DataFrame) -> DataFrame:
+    """(term, block, rank, first_doc, gaps): runs (or single postings) of ranked postings, cut at the borders of blocks."""
+    if "ids" not in ranked.columns:
+        return ranked.select("term", F.floor(F.col("rank") / BLOCK).cast("long").alias("block"), "rank", F.col("doc_id").alias("first_doc"), F.array("gap").alias("gaps"))
+    start, end = F.col("start"), F.col("start") + F.size("ids")
+
+    def piece(block: Column) -> Column:
+        a = F.greatest(start, block * BLOCK)
+        n = F.least(end, (block + 1) * BLOCK) - a
+        at = (a - start).cast("int")
+        return F.struct(block.alias("block"), a.alias("rank"), F.get("ids", at).alias("first_doc"), F.slice("gaps", at + 1, n.cast("int")).alias("gaps"))
+
+    blocks = F.sequence(F.floor(start / BLOCK), F.floor((end - 1) / BLOCK))
+    return ranked.select("term", F.inline(F.transform(blocks, piece)))
+
+
 def block_stats(ranked: DataFrame) -> DataFrame:
-    """(term, block, n, first_doc, width, bytes) of ranked postings."""
-    blocks = ranked.groupBy("term", F.floor(F.col("rank") / BLOCK).cast("long").alias("block")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("gap").alias("__gap"))
+    """(term, block, n, first_doc, width, bytes) of ranked postings, single ones or in runs."""
+    pieces = _pieces(ranked).select("term", "block", F.size("gaps").cast("long").alias("n"), "first_doc", F.array_max("gaps").alias("gap"))
+    blocks = pieces.groupBy("term", "block").agg(F.sum("n").alias("n"), F.min("first_doc").alias("first_doc"), F.max("gap").alias("__gap"))
     width = F.length(F.bin("__gap")).cast("long")
     return blocks.select("term", "block", "n", "first_doc", width.alias("width"), (2 + F.ceil(width * F.col("n") / 8)).cast("long").alias("bytes"))
 
@@ -154,8 +214,8 @@ def _ids(blocks: pd.Series, first: pd.Series) -> pd.Series:
 
 def pack(ranked: DataFrame) -> DataFrame:
     """(term, block, n, first_doc, byte_offset, bytes): at most 128 values meet in one cell."""
-    gaps = F.transform(F.sort_array(F.collect_list(F.struct("rank", "gap"))), lambda x: x["gap"])
-    blocks = ranked.groupBy("term", F.floor(F.col("rank") / BLOCK).cast("long").alias("block")).agg(F.count("*").cast("int").alias("n"), F.min("doc_id").alias("first_doc"), gaps.alias("gaps"))
+    gaps = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("rank", "gaps"))), lambda x: x["gaps"]))
+    blocks = _pieces(ranked).groupBy("term", "block").agg(F.sum(F.size("gaps")).cast("int").alias("n"), F.min("first_doc").alias("first_doc"), gaps.alias("gaps"))
     packed = blocks.select("term", "block", "n", "first_doc", _packed("gaps").alias("bytes"))
     return _with_offsets(packed, F.length("bytes")).select("term", "block", "n", "first_doc", "byte_offset", "bytes")
 

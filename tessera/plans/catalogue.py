@@ -166,6 +166,12 @@ def hash_fullness(s: SparkSession, d: str) -> DataFrame:
     return _customers(s, d).fullness(40).withColumn("depth", F.col("depth").cast("long"))
 
 
+def term_contains(s: SparkSession, d: str) -> DataFrame:
+    wanted = ["from", "nosuchterm"]
+    held = postings.InvertedIndex.build(_docs(s, d)).held_of(wanted)
+    return s.createDataFrame([(t, t in held) for t in wanted], "term string, found boolean")
+
+
 def index_put(s: SparkSession, d: str) -> DataFrame:
     """The lists of two terms, one of them new, are set; the lengths of all lists follow."""
     built = postings.InvertedIndex.build(_docs(s, d))
@@ -205,12 +211,12 @@ def pfor_roundtrip(s: SparkSession, d: str) -> DataFrame:
 
 def index_file_roundtrip(s: SparkSession, d: str) -> DataFrame:
     path = fresh_path(s, "files").removeprefix("file:")
-    binary.export_index(postings.build_postings(_docs(s, d)), path)
+    binary.export_index(postings.build_runs(_docs(s, d)), path)
     return binary.import_index(s, path)
 
 
 def _ranked(s: SparkSession, d: str) -> DataFrame:
-    return postings.ranked(postings.build_postings(_docs(s, d)))
+    return postings.ranked_runs(postings.build_runs(_docs(s, d)))
 
 
 def pfor_ratio(s: SparkSession, d: str) -> DataFrame:
@@ -279,12 +285,12 @@ def queries() -> dict[str, Query]:
         "postings": lambda s, d: postings.build_postings(_docs(s, d)),
         "term_df": lambda s, d: postings.document_frequency(postings.build_postings(_docs(s, d))),
         "term_lookup": lambda s, d: postings.InvertedIndex.build(_docs(s, d)).lookup("from"),
-        "term_contains": lambda s, d: s.createDataFrame([(t, postings.InvertedIndex.build(_docs(s, d)).contains(t)) for t in ("from", "nosuchterm")], "term string, found boolean"),
+        "term_contains": term_contains,
         "corpus_size": lambda s, d: postings.build_universe(_docs(s, d)).agg(F.count("*").alias("n")),
         "universe_dense": lambda s, d: postings.dense_universe(_docs(s, d)),
         "index_save_load": index_save_load,
         "index_file_roundtrip": index_file_roundtrip,
-        "posting_gaps": lambda s, d: _ranked(s, d).select("term", "doc_id", "gap"),
+        "posting_gaps": lambda s, d: postings.spread_ranks(_ranked(s, d)).select("term", "doc_id", "gap"),
         "pfor_block_stats": lambda s, d: codec.block_stats(_ranked(s, d)),
         "pfor_sizes": lambda s, d: codec.sizes(_ranked(s, d)),
         "pfor_ratio": pfor_ratio,

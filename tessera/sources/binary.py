@@ -13,12 +13,14 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from tessera.operators.codec import decode, encode, skip_pointers_of
+from tessera.operators.codec import decode_lists, encode_lists
 
 #: Fixed values of the index file format.
 MAGIC = b"SAPJ"
@@ -211,19 +213,17 @@ def register(spark: SparkSession) -> None:
 
 
 def export_index(postings: DataFrame, path: str) -> None:
-    """Postings as index files. A term's list is one value there, so it meets in one task; native saving has no such limit."""
+    """Postings, single ones or in runs, as index files. A term's list is one value there, so it meets in one task; native saving has no such limit."""
     register(postings.sparkSession)
 
-    @F.pandas_udf("binary")
-    def encoded(ids):  # noqa: ANN001, ANN202
-        return ids.map(lambda x: encode(sorted(x)))
+    @F.pandas_udf("posting binary, skips array<struct<doc_id: int, byte_offset: bigint>>")
+    def encoded(lists: pd.Series) -> pd.DataFrame:
+        data, skips = encode_lists([np.sort(x) for x in lists])
+        return pd.DataFrame({"posting": data, "skips": [[{"doc_id": d, "byte_offset": o} for d, o in own] for own in skips]})
 
-    @F.pandas_udf("array<struct<doc_id: int, byte_offset: bigint>>")
-    def skips(lists):  # noqa: ANN001, ANN202
-        return lists.map(lambda b: [{"doc_id": d, "byte_offset": o} for d, o in skip_pointers_of(b)])
-
-    lists = postings.groupBy("term").agg(F.collect_list("doc_id").alias("ids")).select("term", encoded("ids").alias("posting"))
-    lists.select("term", "posting", skips("posting").alias("skips")).write.format("index_file").mode("append").save(path)
+    ids = F.flatten(F.collect_list("ids")) if "ids" in postings.columns else F.collect_list("doc_id")
+    lists = postings.groupBy("term").agg(ids.alias("ids")).select("term", encoded("ids").alias("list"))
+    lists.select("term", "list.posting", "list.skips").write.format("index_file").mode("append").save(path)
 
 
 def import_index(spark: SparkSession, path: str) -> DataFrame:
@@ -232,6 +232,6 @@ def import_index(spark: SparkSession, path: str) -> DataFrame:
 
     @F.pandas_udf("array<long>")
     def decoded(lists):  # noqa: ANN001, ANN202
-        return lists.map(lambda b: decode(bytes(b)))
+        return pd.Series(decode_lists([bytes(b) for b in lists]), dtype=object)
 
     return spark.read.format("index_file").load(path).select(F.explode(decoded("posting")).alias("doc_id"), "term")

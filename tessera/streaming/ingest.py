@@ -1,6 +1,6 @@
 """Incremental indexing with Structured Streaming.
 
-Each micro-batch appends its distinct postings and ids to the index's tables, partitioned by batch; what
+Each micro-batch appends the runs of its postings and its ids to the index's tables, partitioned by batch; what
 was there is not read. Files of a batch are overwritten if it is replayed, so a lost executor or a restart
 changes nothing. Duplicates across batches go when the index is read.
 """
@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators.postings import InvertedIndex, build_postings, build_universe
+from tessera.operators.postings import InvertedIndex, build_runs, build_universe, merged, spread
 
 
 def start(stream: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", trigger: dict | None = None) -> StreamingQuery:
     """Indexes a stream of documents into ``path``; by default what is there now, then it ends."""
 
     def add(batch: DataFrame, number: int) -> None:
-        build_postings(batch, id_col=id_col, text_col=text_col).write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
+        build_runs(batch, id_col=id_col, text_col=text_col).write.mode("overwrite").parquet(f"{path}/runs/batch={number}")
         build_universe(batch, id_col=id_col, text_col=text_col).write.mode("overwrite").parquet(f"{path}/universe/batch={number}")
 
     writer = stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}/progress")
@@ -26,7 +26,8 @@ def start(stream: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
 
 def current(spark: SparkSession, path: str) -> InvertedIndex:
     """The index as of the batches written so far."""
-    return InvertedIndex(spark.read.parquet(f"{path}/postings").select("doc_id", "term").distinct(), spark.read.parquet(f"{path}/universe").select("doc_id").distinct())
+    runs = merged(spark.read.parquet(f"{path}/runs").select("term", "range", "ids"))
+    return InvertedIndex(spread(runs), spark.read.parquet(f"{path}/universe").select("doc_id").distinct(), runs)
 
 
 def compact(spark: SparkSession, path: str, to: str) -> None:
